@@ -1,0 +1,16 @@
+"""Queries for the numbered problems that belong to the core."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from stackmill.operators.neighbours import nearest, pairs_of
+from stackmill.session import table
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs_of(nearest(table(spark, sf_dir, "points")))
+
+
+QUERIES = {"p2_found": p2_found}
+SQL: dict[str, str] = {}
