@@ -171,9 +171,12 @@ def nearest(points: DataFrame, k: int = 5, least_cosine: float = 0.85, dim: int
         mean = part_of.select("collection", F.transform("vector", lambda x: x / norm).alias("u")).groupBy("collection").agg(*[F.avg(F.col("u")[i]).alias(f"m{i}") for i in range(dim)])
         centre |= {r[0]: np.array(r[1:], dtype="f8") for r in mean.collect()}
 
-    routed = groups.mapInPandas(partial(_route, rows_of=sizes, centre=centre, dim=dim, seed=seed), "collection string, id string, copies boolean, v binary, codes array<int>")
-    placed = routed.select("*", F.explode("codes").alias("code"))
-    hot = {(r[0], r[1]): -(-r[2] // BLOCK) for r in placed.groupBy("collection", "code").count().where(F.col("count") > BLOCK).collect()} if large else {}
+    route, routed = partial(_route, rows_of=sizes, centre=centre, dim=dim, seed=seed), "collection string, id string, copies boolean, v binary, codes array<int>"
+    placed = groups.mapInPandas(route, routed).select("*", F.explode("codes").alias("code"))
+    hot = {}
+    if any(n > BLOCK for n in sizes.values()):  # windows with more rows than one task compares, counted before vectors are moved
+        filled = rows.withColumn("copies", F.lit(False)).mapInPandas(route, routed).select("collection", F.explode("codes").alias("code")).groupBy("collection", "code").count()
+        hot = {(r[0], r[1]): -(-r[2] // BLOCK) for r in filled.where(F.col("count") > BLOCK).collect()}
     if hot:
         blocks = spark.createDataFrame([(c, d, n) for (c, d), n in hot.items()], "c string, d int, blocks int")
         placed = placed.join(F.broadcast(blocks), F.col("collection").eqNullSafe(F.col("c")) & (F.col("code") == F.col("d")), "left").drop("c", "d")
@@ -188,8 +191,9 @@ def nearest(points: DataFrame, k: int = 5, least_cosine: float = 0.85, dim: int
         "a string, b string, cosine double, a_copies boolean, b_copies boolean")
 
     # copies: every member of a group of equal vectors, and the k + 1 smallest keys that stand for it to others
-    twins = groups.where("copies").select(F.col("id").alias("rep"), F.col("collection").alias("c"), F.col("vector").alias("v"))
-    members = rows.join(twins, F.col("collection").eqNullSafe(F.col("c")) & (F.col("vector") == F.col("v"))).select("rep", F.col("id").alias("member")).distinct()
+    prints = [F.xxhash64("collection", "vector").alias("h1"), F.xxhash64(F.lit(1), "collection", "vector").alias("h2")]  # 128 bits stand for a vector
+    twins = groups.where("copies").select(F.col("id").alias("rep"), *prints)
+    members = rows.select(F.col("id").alias("member"), *prints).join(twins, ["h1", "h2"]).select("rep", "member").distinct()
     heads = members.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("member"))).where(F.col("n") <= k + 1).select("rep", F.col("member").alias("head"))
     plain = pairs.where(~F.col("a_copies") & ~F.col("b_copies")).select("a", "b", "cosine")
     mixed = pairs.where(F.col("a_copies") | F.col("b_copies")).select("a", "b", "cosine")
