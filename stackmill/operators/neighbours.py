@@ -19,6 +19,7 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -188,7 +189,7 @@ def nearest(points: DataFrame, k: int = 5, least_cosine: float = 0.85, dim: int
     by = ["collection", "code", "one", "two"]
     pairs = placed.repartition(tasks(spark), *by).groupBy(*by).applyInPandas(
         lambda pdf: _compare(pdf, k, least_cosine, dim, projections, seed),
-        "a string, b string, cosine double, a_copies boolean, b_copies boolean")
+        "a string, b string, cosine double, a_copies boolean, b_copies boolean").persist(StorageLevel.MEMORY_AND_DISK)  # read twice below
 
     # copies: every member of a group of equal vectors, and the k + 1 smallest keys that stand for it to others
     prints = [F.xxhash64("collection", "vector").alias("h1"), F.xxhash64(F.lit(1), "collection", "vector").alias("h2")]  # 128 bits stand for a vector
