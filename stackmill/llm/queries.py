@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from stackmill.llm.encoding import reread
+from stackmill.llm.subjects import assign
 from stackmill.session import table
 
 
@@ -13,5 +14,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reread(spans).where("affected").select("span_id").distinct()
 
 
-QUERIES = {"p4_found": p4_found}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = assign(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subjects"), table(spark, sf_dir, "subject_labels"))
+    return found.select("doc_id", "subject")
+
+
+QUERIES = {"p4_found": p4_found, "p8_found": p8_found}
 SQL: dict[str, str] = {}
