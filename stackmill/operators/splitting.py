@@ -1,0 +1,83 @@
+"""Oversized texts cut into overlapping pieces at natural boundaries, by recursive bisection."""
+
+from __future__ import annotations
+
+import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from stackmill.session import tasks
+
+KINDS = ("paragraph", "line", "word", "char")
+PARAGRAPH_END, LINE_END, WORD_END = re.compile(r"\n(?:[^\S\n]*\n)+"), re.compile(r"\n"), re.compile(r"\s+")
+
+
+def finest_needed(text: str, size: int) -> str:
+    """The coarsest kind of cut after which every part, trimmed, has at most `size` characters."""
+    for kind, parts in (("paragraph", PARAGRAPH_END.split), ("line", LINE_END.split), ("word", str.split)):
+        if all(len(p.strip()) <= size for p in parts(text)):
+            return kind
+    return "char"
+
+
+def bisected(text: str, size: int, overlap: int) -> list[tuple[int, int, str]]:
+    """(start, end, kind of the cut at the start) of the pieces of a trimmed text; the first one has the kind 'start'.
+
+    A part that is too large is cut at the strongest boundary in its middle half, the nearest to its midpoint; where
+    the middle half has none, at the strongest one anywhere in the part, and between two characters only if there is no
+    other. Parts are at most `size - overlap` long, and each piece but the first then begins `overlap` earlier.
+    """
+    if len(text) <= size:
+        return [(0, len(text), "start")] if text else []
+    ends = [[m.end() for m in p.finditer(text)] for p in (PARAGRAPH_END, LINE_END, WORD_END)]
+    room = size - overlap
+    out, stack = [], [(0, len(text), "start")]
+    while stack:
+        lo, hi, kind = stack.pop()
+        if hi - lo <= (size if lo == 0 else room):
+            out.append((lo, hi, kind))
+            continue
+        middle, quarter = (lo + hi) // 2, max(1, (hi - lo) // 4)
+        cut, how = middle, "char"
+        for a, b in ((lo + quarter, hi - quarter), (lo + 1, hi - 1)):
+            for name, at in zip(KINDS, ends):
+                i, j = bisect_left(at, a), bisect_right(at, b)
+                if i < j:
+                    k = min(range(max(i, bisect_left(at, middle) - 1), min(j, bisect_left(at, middle) + 1)), key=lambda k: abs(at[k] - middle), default=i)
+                    cut, how = at[k], name
+                    break
+            if how != "char":
+                break
+        stack += [(cut, hi, how), (lo, cut, kind)]
+    return [(max(0, lo - overlap) if lo else 0, hi, kind) for lo, hi, kind in out]
+
+
+def pieces(texts: DataFrame, key: str = "case_id", text: str = "text", size: str = "chunk_size", overlap: str = "chunk_overlap") -> DataFrame:
+    """The pieces of each text: key, piece_no (from 0), start (in the trimmed text), text, cut, finest and oversized.
+
+    `cut` is the kind of boundary before the piece, `finest` the coarsest kind that is enough for the whole text; it is
+    null where nothing had to be cut. Texts are trimmed of white space at both ends; blank and null texts have no piece.
+    A null size, or one below 1, is no limit; a null or negative overlap is none, and so is one that is not below the
+    size, as no piece could hold it. Repeated rows count once. No two pieces have a gap between them, and every piece
+    has at most `size` characters.
+    """
+    rows = texts.select(F.col(key).alias("case_id"), F.col(text).alias("text"), F.col(size).cast("bigint").alias("size"), F.col(overlap).cast("bigint").alias("overlap"))
+    rows = rows.where(F.col("text").isNotNull()).repartition(tasks(texts.sparkSession), "case_id").distinct()
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = []
+            for case, body, limit, back in zip(pdf["case_id"], pdf["text"], pdf["size"], pdf["overlap"]):
+                body = body.strip()
+                limit = int(limit) if limit == limit and limit is not None and limit >= 1 else max(1, len(body))
+                back = int(back) if back == back and back is not None and 0 <= back < limit else 0
+                over = len(body) > limit
+                finest = finest_needed(body, limit) if over else None
+                got += [(case, n, a, body[a:b], cut, finest, over) for n, (a, b, cut) in enumerate(bisected(body, limit, back))]
+            yield pd.DataFrame(got, columns=["case_id", "piece_no", "start", "text", "cut", "finest", "oversized"])
+
+    return rows.mapInPandas(work, "case_id bigint, piece_no bigint, start bigint, text string, cut string, finest string, oversized boolean")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from stackmill.operators.neighbours import nearest, pairs_of
+from stackmill.operators.splitting import pieces
 from stackmill.session import table
 
 
@@ -12,5 +13,23 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs_of(nearest(table(spark, sf_dir, "points")))
 
 
-QUERIES = {"p2_found": p2_found}
-SQL: dict[str, str] = {}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces(table(spark, sf_dir, "rcts_cases")).where("oversized and piece_no = 0").select("case_id", "finest")
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces(table(spark, sf_dir, "rcts_cases")).select("case_id", "piece_no", "start", "text", "cut")
+
+
+QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_pieces": p5_pieces}
+SQL = {
+    "p5_found": r"""
+with cases as (select distinct case_id, chunk_size, regexp_replace(text, '^[\s\p{Z}\x0b\x1c-\x1f\x85]+|[\s\p{Z}\x0b\x1c-\x1f\x85]+$', '', 'g') as t
+               from rcts_cases where text is not null and chunk_size >= 1),
+over as (select * from cases where length(t) > chunk_size),
+parts as (select case_id, chunk_size,
+    list_max(list_transform(regexp_split_to_array(t, '\n(?:[\t\r\f\x0b\p{Z}\x1c-\x1f\x85]*\n)+'), lambda x: length(regexp_replace(x, '^[\s\p{Z}\x0b\x1c-\x1f\x85]+|[\s\p{Z}\x0b\x1c-\x1f\x85]+$', '', 'g')))) as p,
+    list_max(list_transform(string_split(t, chr(10)), lambda x: length(regexp_replace(x, '^[\s\p{Z}\x0b\x1c-\x1f\x85]+|[\s\p{Z}\x0b\x1c-\x1f\x85]+$', '', 'g')))) as l,
+    list_max(list_transform(regexp_split_to_array(t, '[\s\p{Z}\x0b\x1c-\x1f\x85]+'), lambda x: length(x))) as w from over)
+select case_id, case when p <= chunk_size then 'paragraph' when l <= chunk_size then 'line' when w <= chunk_size then 'word' else 'char' end as finest from parts""",
+}
