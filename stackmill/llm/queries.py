@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stackmill.llm.encoding import reread
+from stackmill.llm.leaks import leaked, removal_spans
+from stackmill.llm.packing import packed
 from stackmill.llm.subjects import assign
 from stackmill.session import table
 
@@ -14,10 +17,24 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reread(spans).where("affected").select("span_id").distinct()
 
 
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_limits"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).distinct()
+
+
+def p7_removal_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = removal_spans(leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")))
+    return spans.select(F.col("doc").alias("doc_id"), "first", "last")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = assign(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subjects"), table(spark, sf_dir, "subject_labels"))
     return found.select("doc_id", "subject")
 
 
-QUERIES = {"p4_found": p4_found, "p8_found": p8_found}
+QUERIES = {"p4_found": p4_found, "p6_packed": p6_packed, "p7_found": p7_found, "p7_removal_spans": p7_removal_spans, "p8_found": p8_found}
 SQL: dict[str, str] = {}
