@@ -8,10 +8,25 @@ from pyspark.sql import functions as F
 from stackmill.llm.encoding import reread
 from stackmill.llm.leaks import leaked, removal_spans
 from stackmill.llm.packing import packed
+from stackmill.llm.prose import with_quality
 from stackmill.llm.subjects import assign
 from stackmill.session import table
 
 
+def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = table(spark, sf_dir, "text_spans").select(F.lit("text_spans").alias("tab"), F.col("span_id").alias("rec_id"), "text", (F.col("kind") == "Code").alias("code"))
+    hits = table(spark, sf_dir, "hits").select(F.lit("hits").alias("tab"), F.col("hit_id").alias("rec_id"), "text", (F.col("content_type") == "code").alias("code"))
+    return with_quality(spans.unionByName(hits).distinct(), excluded=F.col("code"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quality(spark, sf_dir).where("not_prose").select("tab", "rec_id").distinct()
+
+
+def p1_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quality(spark, sf_dir).drop("text", "code")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = table(spark, sf_dir, "text_spans").select("span_id", "text").distinct()
     return reread(spans).where("affected").select("span_id").distinct()
@@ -36,5 +51,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "subject")
 
 
-QUERIES = {"p4_found": p4_found, "p6_packed": p6_packed, "p7_found": p7_found, "p7_removal_spans": p7_removal_spans, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p1_statistics": p1_statistics, "p4_found": p4_found, "p6_packed": p6_packed, "p7_found": p7_found, "p7_removal_spans": p7_removal_spans, "p8_found": p8_found}
 SQL: dict[str, str] = {}

@@ -94,7 +94,7 @@ def assign(documents: DataFrame, subjects: DataFrame, labels: DataFrame, topics:
     """
     spark = documents.sparkSession
     docs = documents.select(F.col(key).alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & (F.length(F.trim(text)) > 0)).dropDuplicates(["doc"])
-    tokens = docs.select("doc", language(F.col("text")).alias("lang"), terms_of(F.col("text")).alias("terms")).repartition(tasks(spark), "doc").persist(StorageLevel.MEMORY_AND_DISK)
+    tokens = docs.select("doc", language(F.col("text")).alias("lang"), terms_of(F.col("text")).alias("terms")).repartition(tasks(spark), "doc").sortWithinPartitions("doc").persist(StorageLevel.MEMORY_AND_DISK)
     told = labels.select(F.col(key).alias("doc"), "subject").where(F.col("subject").isNotNull()).distinct()
     few = told.select("doc").distinct().orderBy(F.xxhash64("doc"), "doc").limit(sample)
     told = told.join(few, "doc")
