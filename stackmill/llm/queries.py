@@ -9,6 +9,7 @@ from stackmill.llm.encoding import reread
 from stackmill.llm.leaks import leaked, removal_spans
 from stackmill.llm.packing import packed
 from stackmill.llm.prose import with_quality
+from stackmill.llm.scans import noise, paragraphs
 from stackmill.llm.subjects import assign
 from stackmill.session import table
 
@@ -27,6 +28,19 @@ def p1_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quality(spark, sf_dir).drop("text", "code")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return noise(table(spark, sf_dir, "text_spans"))
+
+
+def p3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs(table(spark, sf_dir, "text_spans"))
+
+
+def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = table(spark, sf_dir, "text_spans").select("span_id", "text").distinct()
+    return reread(spans).where("affected").select("span_id", "restored", "chain", "lost")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = table(spark, sf_dir, "text_spans").select("span_id", "text").distinct()
     return reread(spans).where("affected").select("span_id").distinct()
@@ -51,5 +65,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "subject")
 
 
-QUERIES = {"p1_found": p1_found, "p1_statistics": p1_statistics, "p4_found": p4_found, "p6_packed": p6_packed, "p7_found": p7_found, "p7_removal_spans": p7_removal_spans, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p1_statistics": p1_statistics, "p3_found": p3_found, "p3_paragraphs": p3_paragraphs, "p4_found": p4_found, "p4_restored": p4_restored, "p6_packed": p6_packed, "p7_found": p7_found, "p7_removal_spans": p7_removal_spans, "p8_found": p8_found}
 SQL: dict[str, str] = {}
