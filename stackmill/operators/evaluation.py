@@ -72,6 +72,23 @@ def islands(windows: DataFrame, source: str = "source_id", start: str = "start",
     return marked.groupBy(source, "__run").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__run")
 
 
+def nearest_rank(rows: DataFrame, by: str, value: str, percents: list[int], width: float = 0.001) -> DataFrame:
+    """Percentiles by nearest rank (place round(p / 100 * (n - 1)), halves to even) of each group; null values are left out.
+
+    Values are counted in bins of `width` first; only the rows of the bins that hold a wanted place are put in order,
+    so that no group is ever collected.
+    """
+    x = rows.where(F.col(value).isNotNull()).select(F.col(by).alias("g"), F.col(value).alias("v"), F.floor(F.col(value) / width).alias("bin"))
+    bins = x.groupBy("g", "bin").agg(F.count("*").alias("n"))
+    upto = bins.withColumn("end", F.sum("n").over(Window.partitionBy("g").orderBy("bin"))).withColumn("all", F.sum("n").over(Window.partitionBy("g")))
+    wanted = upto.withColumn("p", F.explode(F.array(*map(F.lit, percents)))).withColumn("place", F.bround(F.col("p") / 100.0 * (F.col("all") - 1), 0).cast("bigint"))
+    wanted = wanted.where((F.col("place") < F.col("end")) & (F.col("place") >= F.col("end") - F.col("n"))).select(F.col("g").alias("wg"), F.col("bin").alias("wbin"), "p", (F.col("place") - F.col("end") + F.col("n")).alias("inner"))
+    held = x.join(wanted.select("wg", "wbin").distinct(), F.col("g").eqNullSafe(F.col("wg")) & (F.col("bin") == F.col("wbin")), "left_semi")
+    held = held.withColumn("at", F.row_number().over(Window.partitionBy("g", "bin").orderBy("v")) - 1)
+    found = held.join(wanted, F.col("g").eqNullSafe(F.col("wg")) & (F.col("bin") == F.col("wbin")) & (F.col("at") == F.col("inner")))
+    return found.groupBy(F.col("g").alias(by)).agg(*[F.max(F.when(F.col("p") == p, F.col("v"))).alias(f"p{p}") for p in percents])
+
+
 def bootstrap_interval(values: DataFrame, by: list[str], value: str, row: str, draws: int = 800, seed: int = 17) -> DataFrame:
     """Mean and a 95 % interval by resampling: each row is drawn a Poisson(1) number of times in each replicate.
 

@@ -198,10 +198,10 @@ def agg9_audit(spark, d):
 
 
 def exp2_deep_read(spark, d):
-    h = table(spark, d, "hits").select("hit_id", "source_id", F.substring("text", 1, 160).alias("probe")).distinct().where("probe is not null")
-    whole = h.join(spans(spark, d).where("text is not null").select("source_id", "span_id", "text"), "source_id").where(F.contains("text", "probe"))
+    h = table(spark, d, "hits").select("hit_id", "source_id", "chunk_index", F.substring("text", 1, 160).alias("probe")).distinct().where("probe is not null")
+    whole = h.join(table(spark, d, "points").select("source_id", "chunk_index", "text").distinct(), ["source_id", "chunk_index"]).where(F.contains("text", "probe"))
     at = F.instr("text", F.col("probe"))
-    return whole.select("hit_id", "span_id", F.md5(F.substr("text", F.greatest(F.lit(1), at - 1500), F.lit(1660) + 1500)).alias("passage"))
+    return whole.select("hit_id", F.md5(F.substr("text", F.greatest(F.lit(1), at - 1500), F.lit(1660) + 1500)).alias("passage"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -297,6 +297,6 @@ SQL = {
                      f"select c.source_id, count(*) as chunks, round(avg(case when {_FRAG.format('chunk')} then 1.0 else 0.0 end), 6) as fragment_rate, not any_value(flagged) as gate1 from c join g using (source_id) group by c.source_id",
     "agg9_audit": f"with k as (select source_id, {_reason(_STEM)} as reason from {_SOURCES}), g as ({_GARBLE}), b as (select case when reason is not null then 'low_value' when flagged is null then 'unreadable' when flagged then 'flagged' else 'clean' end as bucket from k left join g using (source_id)) "
                   "select bucket, count(*) as n, round(100.0::double * count(*) / sum(count(*)) over (), 6) as percent from b group by bucket",
-    "exp2_deep_read": f"with h as (select distinct hit_id, source_id, substr(text, 1, 160) as probe from hits where text is not null), w as (select hit_id, span_id, s.text, strpos(s.text, probe) as place from h join {_SPANS} s using (source_id) where s.text is not null and contains(s.text, probe)) "
-                      "select hit_id, span_id, md5(substr(text, greatest(1, place - 1500), 3160)) as passage from w",
+    "exp2_deep_read": "with h as (select distinct hit_id, source_id, chunk_index, substr(text, 1, 160) as probe from hits where text is not null), p as (select distinct source_id, chunk_index, text from points), "
+                      "w as (select hit_id, p.text, strpos(p.text, probe) as place from h join p using (source_id, chunk_index) where contains(p.text, probe)) select hit_id, md5(substr(text, greatest(1, place - 1500), 3160)) as passage from w",
 }
