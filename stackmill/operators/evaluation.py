@@ -90,7 +90,8 @@ def nearest_rank(rows: DataFrame, by: str, value: str, percents: list[int], widt
 
 
 def bootstrap_interval(values: DataFrame, by: list[str], value: str, row: str, draws: int = 800, seed: int = 17) -> DataFrame:
-    """Mean and a 95 % interval by resampling: each row is drawn a Poisson(1) number of times in each replicate.
+    """Mean and a 95 % interval by resampling: each row is drawn a Poisson(1) number of times in each replicate;
+    replicates that draw none count not.
 
     The weights come from a hash of row, replicate and seed, so that the result doesn't depend on partitions, and each
     row only meets its replicates, never other rows: sums of weights are combined before the shuffle.
@@ -102,6 +103,6 @@ def bootstrap_interval(values: DataFrame, by: list[str], value: str, row: str, d
         weight = weight + (u > below).cast("int")
         p /= k + 1
     drawn = values.where(F.col(value).isNotNull()).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", weight)
-    reps = drawn.groupBy(*by, "rep").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("m"))
-    bounds = reps.groupBy(*by).agg(F.sort_array(F.collect_list("m")).alias("ms")).select(*by, F.element_at("ms", int(0.025 * draws) + 1).alias("low"), F.element_at("ms", int(0.975 * draws)).alias("high"))
+    reps = drawn.groupBy(*by, "rep").agg(F.try_divide(F.sum(F.col("w") * F.col(value)), F.sum("w")).alias("m"))
+    bounds = reps.groupBy(*by).agg(F.sort_array(F.collect_list("m")).alias("ms")).select(*by, F.try_element_at("ms", F.floor(0.025 * F.size("ms")).cast("int") + 1).alias("low"), F.try_element_at("ms", F.greatest(F.lit(1), F.floor(0.975 * F.size("ms")).cast("int"))).alias("high"))
     return values.groupBy(*by).agg(F.avg(value).alias("mean")).join(bounds, by, "left")

@@ -82,15 +82,15 @@ def _route(batches: Iterator[pd.DataFrame], rows_of: dict, centre: dict, dim: in
         yield out.assign(codes=codes)
 
 
-def _counted(h: np.ndarray, rows: np.ndarray, reach: int, least: int, first: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (row, other) that collide on at least `least` projections; `first` starts the others of the second block."""
-    n, step = h.shape[1], max(64, (1 << 22) // max(1, h.shape[1]))
+def _counted(h: np.ndarray, rows: np.ndarray, reach: int, least: int, first: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (row, other) that collide on at least `least` projections, the others from `first` on and before `end`."""
+    step = max(64, (1 << 22) // max(1, end - first))
     for at in range(0, len(rows), step):
         q = rows[at : at + step]
-        hits = np.zeros((len(q), n - first), dtype=np.uint8)
+        hits = np.zeros((len(q), end - first), dtype=np.uint8)
         near = np.empty(hits.shape, dtype=np.uint8)
         for p in h:
-            np.subtract(p[q][:, None] + np.uint8(reach), p[None, first:], out=near)
+            np.subtract(p[q][:, None] + np.uint8(reach), p[None, first:end], out=near)
             hits += near <= 2 * reach
         i, j = np.nonzero(hits >= least)
         yield q[i], j + first
@@ -112,7 +112,7 @@ def collided(v: np.ndarray, k: int, least_cosine: float, projections: int, seed:
         groups = [(open_rows, 0, n)] if not split else [(open_rows[open_rows < split], split, n), (open_rows[open_rows >= split], 0, split)]
         rows, others, cosines = [], [], []
         for q, lo, hi in groups:
-            for i, j in _counted(h[:, :hi], q, reach, least, lo):
+            for i, j in _counted(h, q, reach, least, lo, hi):
                 i, j = i[i != j], j[i != j]
                 for a in range(0, len(i), 1 << 18):
                     x, y = i[a : a + (1 << 18)], j[a : a + (1 << 18)]

@@ -27,12 +27,12 @@ def upserted(existing: DataFrame, new: DataFrame, key: str = "point_id") -> Data
 
 def replaced(existing: DataFrame, batch: DataFrame, key: str = "source_id") -> DataFrame:
     """`existing` without all rows of the batch's sources, and the batch; chunks that the new version lacks are gone."""
-    return existing.join(batch.select(key).distinct(), key, "left_anti").unionByName(batch)
+    return deleted(existing, batch, key).unionByName(batch)
 
 
 def deleted(existing: DataFrame, sources: DataFrame, key: str = "source_id") -> DataFrame:
     """`existing` without the rows of the given sources; a source that has none changes nothing."""
-    return existing.join(sources.select(key).distinct(), key, "left_anti")
+    return existing.join(sources.select(key).distinct(), key, "left_anti").select(*existing.columns)
 
 
 def named_slots(**slots: Column) -> Column:
