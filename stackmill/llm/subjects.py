@@ -25,8 +25,8 @@ NONE = "none"
 
 
 def terms_of(text) -> F.Column:
-    """The lower-case words of a text with four letters or more."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) >= 4)
+    """The lower-case words of a text with four letters or more that are no common words of a language."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: (F.length(w) >= 4) & ~w.isin(sorted({x for v in COMMON.values() for x in v if len(x) >= 4})))
 
 
 def _term_votes(terms: list[str], labelled: DataFrame, described: dict[str, str]) -> tuple[list[str], np.ndarray]:
@@ -59,7 +59,7 @@ def _topics(tokens: DataFrame, told: DataFrame, described: dict[str, str], topic
             top_terms: int, clear: float, seed: int) -> DataFrame:
     """Document, subject and share, by one topic model over the documents of one language."""
     total = tokens.count()
-    counter = CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=vocabulary, minDF=max(2.0, total * 4e-4), maxDF=max(2.0, total * 0.15)).fit(tokens)
+    counter = CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=vocabulary, minDF=max(2.0, total * 4e-4), maxDF=max(2.0, total * 0.2)).fit(tokens)
     counted = counter.transform(tokens).select("doc", "counts")
     model = LDA(k=topics, maxIter=iterations, optimizer="online", subsamplingRate=min(1.0, max(batch, least_batch / total)), learningOffset=8.0, learningDecay=0.6, docConcentration=[0.05],
                 topicConcentration=0.02, optimizeDocConcentration=False, featuresCol="counts", topicDistributionCol="theta", seed=seed).fit(counted)
