@@ -193,8 +193,9 @@ def nearest(points: DataFrame, k: int = 5, least_cosine: float = 0.85, dim: int
 
     # copies: every member of a group of equal vectors, and the k + 1 smallest keys that stand for it to others
     prints = [F.xxhash64("collection", "vector").alias("h1"), F.xxhash64(F.lit(1), "collection", "vector").alias("h2")]  # 128 bits stand for a vector
-    twins = groups.where("copies").select(F.col("id").alias("rep"), *prints)
-    members = rows.select(F.col("id").alias("member"), *prints).join(twins, ["h1", "h2"]).select("rep", "member").distinct()
+    printed = rows.select(F.col("id").alias("member"), *prints)
+    twins = printed.groupBy("h1", "h2").agg(F.min("member").alias("rep"), F.max("member").alias("last")).where("rep <> last").drop("last")
+    members = printed.join(twins, ["h1", "h2"]).select("rep", "member").distinct()
     heads = members.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("member"))).where(F.col("n") <= k + 1).select("rep", F.col("member").alias("head"))
     plain = pairs.where(~F.col("a_copies") & ~F.col("b_copies")).select("a", "b", "cosine")
     mixed = pairs.where(F.col("a_copies") | F.col("b_copies")).select("a", "b", "cosine")
