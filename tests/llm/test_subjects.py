@@ -2,8 +2,8 @@ import numpy as np
 
 from stackmill.llm.subjects import assign
 
-TERMS = {"sea": "harbour ship sailor anchor pilot tide wave captain".split(), "kitchen": "oven bread pepper flour butter spoon recipe sugar".split(), "forest": "beech moss squirrel timber acorn root hunter clearing".split()}
-GENERAL = "reason habit question chapter summary example purpose choice".split()
+TERMS = {s: [f"{s[:3]}{a}{b}" for a in ("bar", "lon", "mir", "tov", "sul", "den", "gar", "pel") for b in ("ing", "mest", "ora", "utt", "isk", "and", "elp", "oft", "urn", "agg")] for s in ("sea", "kitchen", "forest")}
+GENERAL = [f"{a}{b}" for a in ("re", "con", "pre", "sub", "inter", "trans", "ob", "dis", "per", "ex", "ad", "pro") for b in ("solve", "tend", "ject", "mit", "spect", "form", "port", "duce", "tract", "serve")]
 
 
 def text(rng, *subjects, n=60):
