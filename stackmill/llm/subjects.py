@@ -64,7 +64,7 @@ def _topics(tokens: DataFrame, told: DataFrame, described: dict[str, str], topic
     model = LDA(k=topics, maxIter=iterations, optimizer="online", subsamplingRate=min(1.0, max(batch, least_batch / total)), learningOffset=8.0, learningDecay=0.6, docConcentration=[0.05],
                 topicConcentration=0.02, optimizeDocConcentration=False, featuresCol="counts", topicDistributionCol="theta", seed=seed).fit(counted)
     weight = told.groupBy("doc").agg(F.count("*").alias("n"))
-    names, votes = _term_votes(counter.vocabulary, told.join(weight, "doc").join(tokens, "doc").select("subject", "n", "terms"), described)
+    names, votes = _term_votes(counter.vocabulary, tokens.join(F.broadcast(told.join(weight, "doc")), "doc").select("subject", "n", "terms"), described)
     beta = model.topicsMatrix().toArray().T
     beta = beta / beta.sum(axis=1, keepdims=True)
     spoken = votes / np.maximum(votes.sum(axis=1, keepdims=True), 1e-9)
@@ -97,7 +97,7 @@ def assign(documents: DataFrame, subjects: DataFrame, labels: DataFrame, topics:
     tokens = docs.select("doc", language(F.col("text")).alias("lang"), terms_of(F.col("text")).alias("terms")).repartition(tasks(spark), "doc").sortWithinPartitions("doc").persist(StorageLevel.MEMORY_AND_DISK)
     told = labels.select(F.col(key).alias("doc"), "subject").where(F.col("subject").isNotNull()).distinct()
     few = told.select("doc").distinct().orderBy(F.xxhash64("doc"), "doc").limit(sample)
-    told = told.join(few, "doc")
+    told = told.join(F.broadcast(few), "doc")  # at most `sample` documents, here and in every join with `told`
     described = {r["subject"]: r["description"] for r in subjects.select("subject", "description").distinct().collect() if r["subject"]}
     parts = [_topics(tokens.where(F.col("lang") == lang).drop("lang"), told, described, topics, vocabulary, iterations, batch, least_batch, top_terms, clear, seed)
              for lang in sorted(r["lang"] for r in tokens.groupBy("lang").count().where(F.col("count") >= 2 * topics).collect())]
@@ -111,7 +111,7 @@ def assign(documents: DataFrame, subjects: DataFrame, labels: DataFrame, topics:
 
 def least_share(spread: DataFrame, told: DataFrame) -> float:
     """The share from which on a subject best agrees with the labelled documents (F1 over steps of 0.02)."""
-    rows = spread.where(F.col("share") >= 0.05).join(told.select("doc").distinct(), "doc").join(told.withColumn("yes", F.lit(1)), ["doc", "subject"], "left").select("share", "yes").toPandas()
+    rows = spread.where(F.col("share") >= 0.05).join(F.broadcast(told.select("doc").distinct()), "doc").join(F.broadcast(told.withColumn("yes", F.lit(1))), ["doc", "subject"], "left").select("share", "yes").toPandas()
     positives = told.where(F.col("subject") != NONE).count()
     best, at = -1.0, 0.25
     for cut in np.arange(0.06, 0.61, 0.02):
