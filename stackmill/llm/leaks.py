@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from html.entities import html5
 
 import numpy as np
 import pandas as pd
@@ -16,14 +17,39 @@ from stackmill.session import tasks
 
 WORD = re.compile(r"[^\W_]+")
 TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
+ENTITY = re.compile(r"&(?:#[0-9]{1,20}(?![0-9])|#[xX][0-9A-Fa-f]{1,16}(?![0-9A-Fa-f])|[A-Za-z][A-Za-z0-9]*);?")
 #: Words of the documents in one index, and characters of evaluation texts that one pass looks for.
 SHARD, PASS = 1_000_000, 1 << 24
 
 
+def decoded(text: str) -> tuple[str, list[int], list[int]]:
+    """A text with its HTML entities decoded, and where each of its characters begins and ends in the original."""
+    parts, first, last, at = [], [], [], 0
+
+    def keep(a: int, b: int) -> None:
+        parts.append(text[a:b])
+        first.extend(range(a, b))
+        last.extend(range(a + 1, b + 1))
+
+    for m in ENTITY.finditer(text):
+        meant = html.unescape(m[0]) if m[0][1] == "#" else html5.get(m[0][1:])
+        if meant is not None:  # an unknown name is no entity
+            keep(at, m.start())
+            parts.append(meant)
+            first += [m.start()] * len(meant)
+            last += [m.end()] * len(meant)
+            at = m.end()
+    keep(at, len(text))
+    return "".join(parts), first, last
+
+
 def words_of(text: str) -> list[tuple[str, int, int]]:
-    """The words of a text without case, marks and tags, each with its place in the text."""
+    """The words of a text without case, marks and tags and with entities decoded, each with its place in the text."""
     plain = TAG.sub(lambda m: " " * len(m[0]), text) if "<" in text else text
-    return [(m[0].lower(), m.start(), m.end()) for m in WORD.finditer(plain)]
+    if "&" not in plain:
+        return [(m[0].lower(), m.start(), m.end()) for m in WORD.finditer(plain)]
+    plain, first, last = decoded(plain)
+    return [(m[0].lower(), first[m.start()], last[m.end() - 1]) for m in WORD.finditer(plain)]
 
 
 def alike(item: list[int], text: np.ndarray, i: int, j: int, step: int) -> int:
@@ -58,7 +84,7 @@ def _search(batch: list[tuple], phrases: list[list[int]], seeds: np.ndarray, see
     """(document, phrase, first and last character) for a shard of (document, text) pairs."""
     docs, parts, starts, total = [], [], [], 0
     for doc, text in batch:
-        found = words_of(html.unescape(text) if "&" in text and len(html.unescape(text)) == len(text) else text)
+        found = words_of(text)
         ids = np.fromiter((vocabulary.get(w, 1) for w, _, _ in found), dtype=np.int64, count=len(found))
         if len(ids) < seed or not (ids > 1).any():
             continue
@@ -94,7 +120,7 @@ def _search(batch: list[tuple], phrases: list[list[int]], seeds: np.ndarray, see
 def leaked(documents: DataFrame, items: DataFrame, least: int = 15, seed: int = 7, key: str = "doc_id", text: str = "text", item: str = "item_id", fields: tuple[str, ...] = ("q", "passage")) -> DataFrame:
     """Document, item, field, first and last character and number of the item's words, for each passage given away.
 
-    A passage counts from `least` consecutive words of an item on. Case, marks and tags don't matter, and single words
+    A passage counts from `least` consecutive words of an item on. Case, marks, tags and HTML entities don't matter, and single words
     may be changed, added or dropped if at least `seed` unchanged ones stand between two of them; such a passage always
     holds `seed` unchanged words in a row, for which the index of each shard is searched. Null and empty texts give
     nothing on either side, repeated rows count once, and items with the same passage each get a row. The evaluation

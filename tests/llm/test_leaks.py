@@ -1,7 +1,7 @@
 import numpy as np
 
 from stackmill.llm.fmindex import FMIndex
-from stackmill.llm.leaks import aligned, leaked, removal_spans
+from stackmill.llm.leaks import aligned, leaked, removal_spans, words_of
 
 
 def test_index_against_brute_force():
@@ -66,3 +66,25 @@ def test_passes_give_the_same(spark, monkeypatch):
 def test_merged_spans(spark):
     df = spark.createDataFrame([(1, 0, 5), (1, 3, 9), (1, 9, 12), (1, 20, 22), (2, 1, 2)], "doc bigint, first bigint, last bigint")
     assert sorted(map(tuple, removal_spans(df).select("doc", "first", "last").collect())) == [(1, 0, 12), (1, 20, 22), (2, 1, 2)]
+
+
+def test_entities(spark):
+    w = WORDS.split()
+    text = {
+        1: "<p>" + "&nbsp;".join(w) + "&nbsp;</p>",
+        2: "x <p>" + "&nbsp;".join(w[:4]) + "&#160;" + " ".join(w[4:14]) + "&rsquo; " + " ".join(w[14:20]) + "&#xA0;<b>" + "&nbsp;".join(w[20:]) + "</b>",
+        3: "&nbsp;".join(w[:14]) + "&nbsp;y",
+    }
+    items = spark.createDataFrame([(1, None, WORDS)], "item_id bigint, q string, passage string")
+    out = leaked(spark.createDataFrame(list(text.items()), "doc_id bigint, text string"), items)
+    assert {r["doc"] for r in out.collect()} == {1, 2}
+    for r in removal_spans(out).collect():
+        cut = text[r["doc"]][r["first"] : r["last"]]
+        assert cut.startswith("In&nbsp;a") and cut.endswith("home") and [x for x, _, _ in words_of(cut)] == [x.lower() for x in w]
+
+
+def test_entities_keep_places():
+    text = "caf&eacute; r&amp;d AT&T &amp;nbsp; &amplitude; &#x41;&#66;c &NotEqualTilde;z &#" + "9" * 5000 + ";"
+    found = words_of(text)
+    assert [x for x, _, _ in found[:10]] == ["café", "r", "d", "at", "t", "nbsp", "amplitude", "abc", "z", "9" * 5000]
+    assert [text[a:b] for _, a, b in found[:10]] == ["caf&eacute;", "r", "d", "AT", "T", "nbsp", "amplitude", "&#x41;&#66;c", "z", "9" * 5000]
