@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stackmill.functions import identity as ids
 from stackmill.functions import text as t
 from stackmill.functions.cleaning import clean_markdown
-from stackmill.operators import chunking
+from stackmill.operators import chunking, expansion
 from stackmill.operators.search import stub_vector
 from stackmill.session import table
 
@@ -204,10 +204,15 @@ def exp2_deep_read(spark, d):
     return whole.select("hit_id", F.md5(F.substr("text", F.greatest(F.lit(1), at - 1500), F.lit(1660) + 1500)).alias("passage"))
 
 
+def exp2_deep_read_source(spark, d):
+    found = expansion.expanded(table(spark, d, "hits"), spans(spark, d))
+    return found.select("hit_id", F.md5("passage").alias("passage"), "found")
+
+
 QUERIES = {f.__name__: f for f in (
     src2_code_paths, src3_text_spans, src4_code_spans, id_canonical_source, fn22_hashes, fn22_point_ids, flt4_sections, flt10_low_value_paths, fn1_norm_tokens, fn2_letterspace_runs, fn4_text_signals, fn6_latex, fn7_masked,
     fn9_dehyphenated, fn11_slugs, fn12_kinds, fn14_source_tokens, fn15_scores, fn17_previews, cln_clean_markdown, agg26_clean_idempotence, chk1_blank_line_chunks, chk4_breadcrumbs, chk5_recursive_chunks, chk6_code_windows,
-    chk9_payload_titles, emb1_stub_vectors, agg10_garble_by_source, agg17_prevalence, agg18_length_stats, agg19_repeated_lines, agg24_worst_segment, agg22_worst_spans, agg13_preview, agg9_audit, exp2_deep_read)}
+    chk9_payload_titles, emb1_stub_vectors, agg10_garble_by_source, agg17_prevalence, agg18_length_stats, agg19_repeated_lines, agg24_worst_segment, agg22_worst_spans, agg13_preview, agg9_audit, exp2_deep_read, exp2_deep_read_source)}
 
 _SOURCES = "(select distinct source_id, source_hash, content_type, path, work_id from sources)"
 _SPANS = "(select distinct span_id, source_id, span_index, kind, text, page from text_spans)"
