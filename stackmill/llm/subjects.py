@@ -57,11 +57,16 @@ def language(terms_text) -> F.Column:
 
 def _topics(tokens: DataFrame, told: DataFrame, described: dict[str, str], topics: int, vocabulary: int, iterations: int, batch: float, least_batch: int,
             top_terms: int, clear: float, seed: int) -> DataFrame:
-    """Document, subject and share, by one topic model over the documents of one language."""
+    """Document, subject and share, by one topic model over the documents of one language, or of all small ones.
+
+    Fewer than two documents a topic get a topic each, and keep their rare and frequent terms, as a subject may be that
+    of a single document or of most.
+    """
     total = tokens.count()
-    counter = CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=vocabulary, minDF=max(2.0, total * 4e-4), maxDF=max(2.0, total * 0.2)).fit(tokens)
+    few = total < 2 * topics
+    counter = CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=vocabulary, minDF=1.0 if few else max(2.0, total * 4e-4), maxDF=float(total) if few else max(2.0, total * 0.2)).fit(tokens)
     counted = counter.transform(tokens).select("doc", "counts")
-    model = LDA(k=topics, maxIter=iterations, optimizer="online", subsamplingRate=min(1.0, max(batch, least_batch / total)), learningOffset=8.0, learningDecay=0.6, docConcentration=[0.05],
+    model = LDA(k=max(2, min(topics, total)), maxIter=iterations, optimizer="online", subsamplingRate=min(1.0, max(batch, least_batch / total)), learningOffset=8.0, learningDecay=0.6, docConcentration=[0.05],
                 topicConcentration=0.02, optimizeDocConcentration=False, featuresCol="counts", topicDistributionCol="theta", seed=seed).fit(counted)
     weight = told.groupBy("doc").agg(F.count("*").alias("n"))
     names, votes = _term_votes(counter.vocabulary, tokens.join(F.broadcast(told.join(weight, "doc")), "doc").select("subject", "n", "terms"), described)
@@ -87,8 +92,9 @@ def assign(documents: DataFrame, subjects: DataFrame, labels: DataFrame, topics:
            key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key, subject and `share` of each subject that a document is about; documents of none have no row.
 
-    One model is fitted for each language, on all its documents: each of the `iterations` steps sees the part `batch`
-    of them, and at least `least_batch`. At most `sample` labelled documents (those with the smallest keys' hashes) are
+    One model is fitted for each language with at least 2 * `topics` documents, on all its documents, and a shared one on
+    the documents of all other languages: each of the `iterations` steps sees the part `batch` of them, and at least
+    `least_batch`. At most `sample` labelled documents (those with the smallest keys' hashes) are
     read to map topics and, unless `share` is given, to set the least share. Null and empty texts get no subject; a key
     that occurs more than once counts once. An empty table gives an empty table. Extra columns are ignored.
     """
@@ -99,8 +105,10 @@ def assign(documents: DataFrame, subjects: DataFrame, labels: DataFrame, topics:
     few = told.select("doc").distinct().orderBy(F.xxhash64("doc"), "doc").limit(sample)
     told = told.join(F.broadcast(few), "doc")  # at most `sample` documents, here and in every join with `told`
     described = {r["subject"]: r["description"] for r in subjects.select("subject", "description").distinct().collect() if r["subject"]}
-    parts = [_topics(tokens.where(F.col("lang") == lang).drop("lang"), told, described, topics, vocabulary, iterations, batch, least_batch, top_terms, clear, seed)
-             for lang in sorted(r["lang"] for r in tokens.groupBy("lang").count().where(F.col("count") >= 2 * topics).collect())]
+    sizes = {r["lang"]: (r["count"], r["terms"]) for r in tokens.groupBy("lang").agg(F.count("*").alias("count"), F.sum(F.size("terms")).alias("terms")).collect()}
+    small = sorted(lang for lang, (n, _) in sizes.items() if n < 2 * topics)
+    groups = [[lang] for lang in sorted(set(sizes) - set(small))] + ([small] if any(sizes[lang][1] for lang in small) else [])
+    parts = [_topics(tokens.where(F.col("lang").isin(langs)).drop("lang"), told, described, topics, vocabulary, iterations, batch, least_batch, top_terms, clear, seed) for langs in groups]
     if not parts:
         return spark.createDataFrame([], f"`{key}` bigint, subject string, share double")
     spread = reduce(DataFrame.unionByName, parts)

@@ -35,3 +35,23 @@ def test_held_out_documents(spark):
     assert hit / sum(len(got.get(i, ())) for i in held) >= 0.85 and hit / sum(len(true[i]) for i in held) >= 0.85
     assert 900 not in got and 901 not in got
     assert assign(docs.limit(0), subjects, labels).count() == 0
+
+
+def test_ten_documents_of_one_language(spark):
+    rng = np.random.default_rng(5)
+    names = list(TERMS)
+    german = {s: [f"{w}ung" for w in ws[:40]] for s, ws in TERMS.items()}
+    rows = [(i, text(rng, names[i % 3]), names[i % 3]) for i in range(150)]
+    for i in range(10):
+        pool = german[names[i % 3]]
+        rows.append((200 + i, " ".join(f"die {pool[rng.integers(40)]} von und nicht" for _ in range(60)) + ".", names[i % 3]))
+    rows.append((300, "1 2 3", "none"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, subject string")
+    labels = spark.createDataFrame([(i, s) for i, _, s in rows if i < 60 or 200 <= i < 206], "doc_id bigint, subject string")
+    subjects = spark.createDataFrame([(s, f"texts about {', '.join(w[:3])}.") for s, w in TERMS.items()], "subject string, description string")
+    got = {(r["doc_id"], r["subject"]) for r in assign(docs.drop("subject"), subjects, labels, topics=8, iterations=25, least_batch=600).collect()}
+    assert {(i, s) for i, _, s in rows if 206 <= i < 300} <= got and not {d for d, _ in got} & {300}
+    assert len([1 for d, _ in got if 200 <= d < 210]) <= 12
+    one = docs.where("doc_id in (200, 300)").drop("subject")
+    assert {(r["doc_id"], r["subject"]) for r in assign(one, subjects, labels, topics=8, iterations=5).collect()} == {(200, names[0])}
+    assert assign(docs.where("doc_id = 300"), subjects, labels).count() == 0
