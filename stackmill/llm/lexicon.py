@@ -17,7 +17,7 @@ class Lexicon:
 
     def __init__(self, counts: dict[str, int], pairs: dict[tuple[str, str], int] | None = None) -> None:
         self.counts, self.words, self.pairs = counts, sorted(counts), pairs or {}
-        self.known: dict[str, list[tuple[int, int, str]]] = {}
+        self.known: dict[tuple[str, int], list[tuple[int, int, str]]] = {}
 
     def __contains__(self, word: str) -> bool:
         return word in self.counts
@@ -28,8 +28,8 @@ class Lexicon:
 
     def readings(self, word: str, most: int = 3) -> list[tuple[int, int, str]]:
         """(edits, minus count, word) of every word of which `word` may be a misreading in at most `most` places, best first."""
-        if word in self.known:
-            return self.known[word]
+        if (word, most) in self.known:
+            return self.known[word, most]
         found: dict[str, int] = {}
         stack = [(0, "", 0, len(self.words), 0)]
         while stack:
@@ -45,7 +45,7 @@ class Lexicon:
                 a, b = self._child(prefix + meant, lo, hi)
                 if a < b:
                     stack.append((i + n, prefix + meant, a, b, edits + cost))
-        self.known[word] = got = sorted((e, -self.counts[w], w) for w, e in found.items())
+        self.known[word, most] = got = sorted((e, -self.counts[w], w) for w, e in found.items())
         return got
 
     def nearest(self, word: str) -> list[tuple[int, int, str]]:

@@ -69,3 +69,10 @@ def test_lexicon_against_brute_force():
 def test_context_decides():
     lex = Lexicon({"bar": 5, "har": 9}, {("the", "bar"): 4})
     assert lex.best([(1, -9, "har"), (1, -5, "bar")], "the", "was") == "bar" and lex.best([(1, -9, "har"), (1, -5, "bar")], "a", "was") == "har"
+
+
+def test_readings_do_not_depend_on_earlier_ones():
+    lex = Lexicon({"sillion": 3})
+    assert lex.readings("5i11ion", 1) == lex.readings("5i11ion", 2) == []
+    assert lex.readings("5i11ion", 3) == [(3, -3, "sillion")]
+    assert lex.readings("5i11ion", 2) == []
