@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 # Frequent function words.
 COMMON = {
@@ -14,6 +19,36 @@ COMMON = {
     "ru": "и в не на что он я с а то как это по но они мы из у за от же так для был была его к до все если или бы есть при после чем нет поэтому этого того здесь каждый будет быть только когда ещё где".split(),
 }
 
+LETTERS = re.compile(r"[^\W\d_]+")
+#: The languages in which a word is common.
+LANGUAGES_OF = {w: tuple(lang for lang in sorted(COMMON) if w in COMMON[lang]) for words in COMMON.values() for w in words}
+
+
+def language(words: Counter) -> str | None:
+    """The language that has the most common words among these; the first by name where equally many are, None where none is."""
+    found: Counter = Counter()
+    for w, n in words.items():
+        for lang in LANGUAGES_OF.get(w, ()):
+            found[lang] += n
+    return min(found, key=lambda lang: (-found[lang], lang), default=None)
+
+
+@F.pandas_udf(StringType())
+def language_of(text: pd.Series) -> pd.Series:
+    """The language of each text; null for a text without a common word and for a null one."""
+    return text.map(lambda t: language(Counter(LETTERS.findall(t.lower()))), na_action="ignore")
+
+
+@F.pandas_udf(StructType([StructField("lang", StringType()), StructField("words", StringType())]))
+def told_words(text: pd.Series) -> pd.DataFrame:
+    """The language of each text, and its words of four letters or more that are common in none, parted by blanks."""
+    langs, kept = [], []
+    for t in text:
+        words = LETTERS.findall(t.lower()) if t else []
+        langs.append(language(Counter(words)))
+        kept.append(" ".join([w for w in words if len(w) >= 4 and w not in LANGUAGES_OF]))
+    return pd.DataFrame({"lang": langs, "words": kept})
+
 
 def common_in(words: Column, lang: str) -> Column:
     """How many of an array of lower-case words are common words of a language."""
