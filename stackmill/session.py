@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -17,14 +15,6 @@ def tasks(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` cut off from its lineage by a reliable checkpoint.
-
-    The folder is the one that the cluster names in spark.checkpoint.dir. Only where none is set, as in tests, a
-    temporary folder of this machine is taken.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="stackmill-checkpoint-"))
-    return df.checkpoint(eager=True)
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over enough tasks for heavy Python work: as its input is split, and moved only where that gives fewer tasks than cores."""
+    return df if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism else df.repartition(tasks(df.sparkSession))
