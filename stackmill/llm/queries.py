@@ -17,7 +17,7 @@ from stackmill.session import table
 def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = table(spark, sf_dir, "text_spans").select(F.lit("text_spans").alias("tab"), F.col("span_id").alias("rec_id"), "text", (F.col("kind") == "Code").alias("code"))
     hits = table(spark, sf_dir, "hits").select(F.lit("hits").alias("tab"), F.col("hit_id").alias("rec_id"), "text", (F.col("content_type") == "code").alias("code"))
-    return with_quality(spans.unionByName(hits).distinct(), excluded=F.col("code"))
+    return with_quality(spans.unionByName(hits), excluded=F.col("code"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _quality(spark, sf_dir).drop("text", "code")
+    return _quality(spark, sf_dir).drop("text", "code").distinct()
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,14 +36,16 @@ def p3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs(table(spark, sf_dir, "text_spans"))
 
 
+def _reread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reread(table(spark, sf_dir, "text_spans").select("span_id", "text")).where("affected")
+
+
 def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = table(spark, sf_dir, "text_spans").select("span_id", "text").distinct()
-    return reread(spans).where("affected").select("span_id", "restored", "chain", "lost")
+    return _reread(spark, sf_dir).select("span_id", "restored", "chain", "lost").distinct()
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = table(spark, sf_dir, "text_spans").select("span_id", "text").distinct()
-    return reread(spans).where("affected").select("span_id").distinct()
+    return _reread(spark, sf_dir).select("span_id").distinct()
 
 
 def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,7 +139,7 @@ def assign(documents: DataFrame, subjects: DataFrame, labels: DataFrame, topics:
     ready = {g: p for g in totals if (p := prepared(g))}
     if not ready:
         return empty
-    with ThreadPoolExecutor(len(ready)) as pool:  # the steps of one model leave cores idle
+    with ThreadPoolExecutor(2) as pool:  # the steps of one model leave cores idle
         parts = [*pool.map(lambda g: _shares(ready[g][0], totals[g], ready[g][1], topics, iterations, batch if g else 1.0, top_terms, clear, seed), ready)]
     spread = reduce(DataFrame.unionByName, parts).persist(StorageLevel.MEMORY_AND_DISK)
     if share is None:
