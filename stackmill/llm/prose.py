@@ -27,6 +27,8 @@ LINE_WORDS, LINE_LETTERS, LINE_SIGNS, LINE_FOREIGN, LINE_COMMON, SHORT_WORDS, SH
 TABLE_LETTERS, TABLE_SIGNS, TIMES_MOST, FULL_LETTERS, FULL_CHARS = 0.4, 0.15, 3, 0.6, 30
 #: Share of the characters in lines that fail from which on a text does.
 NOT_PROSE = 0.5
+#: What words are made of: letters, and the signs that they may have become by a wrong reading.
+LETTER = r"\pL\p{No}\p{Nl}\x{FFFD}"
 SPACE = r"[\s\p{Z}\x{85}\x{b}\x{1c}-\x{1f}]"
 BULLET = rf"^(?:[•●▪◦‣☐☑☒*+\-–—]|\[[ xX]?\]|\(?(?:\d{{1,3}}|[A-Za-z]|[ivxIVX]{{1,5}})[.)])(?:{SPACE}|$)"
 SENTENCE_END = r"[.!?…。！？][\"”’»“'）)\]]*$"
@@ -53,17 +55,17 @@ def measured(texts: pa.Array) -> dict[str, np.ndarray]:
     count = lambda texts, pattern: pc.count_substring_regex(texts, pattern).to_numpy(zero_copy_only=False)
     told = lambda texts, pattern: pc.match_substring_regex(texts, pattern).to_numpy(zero_copy_only=False)
     per = lambda lists, which: np.bincount(pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)[which], minlength=len(of))
-    words = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.replace_substring_regex(low, r"[^\pL\x{FFFD}]+", " ")))
+    words = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.replace_substring_regex(low, f"[^{LETTER}]+", " ")))
     word = pc.list_flatten(words)
     tokens = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(plain))
     token = pc.list_flatten(tokens)
-    letters = count(low, r"[\pL\x{FFFD}]")
+    letters = count(low, f"[{LETTER}]")
     same = pc.dictionary_encode(pc.utf8_lower(t)).indices.to_numpy(zero_copy_only=False).astype("i8")
     _, group, times = np.unique(of.astype("i8") * (len(of) + 1) + same, return_inverse=True, return_counts=True)
     return {
         "of": of, "top": top, "chars": chars, "told": np.maximum(1, pc.utf8_length(plain).to_numpy(zero_copy_only=False)), "letters": letters, "foreign": letters - count(low, "[a-z]"), "signs": count(plain, SIGNS),
         "words": per(words, pc.not_equal(word, "").to_numpy(zero_copy_only=False)), "common": per(words, pc.is_in(word, value_set=TELLING).to_numpy(zero_copy_only=False)),
-        "tokens": per(tokens, pc.not_equal(token, "").to_numpy(zero_copy_only=False)), "lettered": per(tokens, told(token, r"[\pL\x{FFFD}]")),
+        "tokens": per(tokens, pc.not_equal(token, "").to_numpy(zero_copy_only=False)), "lettered": per(tokens, told(token, f"[{LETTER}]")),
         "bullet": told(t, BULLET), "ends": told(t, SENTENCE_END), "breaks": told(t, SENTENCE_BREAK), "title": pc.utf8_is_title(t).to_numpy(zero_copy_only=False),
         "ellipsis": told(t, r"(?:\.\.\.|…)$"), "times": times[group] if len(of) else chars,
     }

@@ -25,6 +25,16 @@ def test_nulls_blanks_long_and_empty(spark):
     assert with_quality(spark.createDataFrame([], "id int, text string")).count() == 0
 
 
+def test_wrongly_decoded_prose_is_prose(spark):
+    shown = "Каждый закон меняет закон, а метод нет.".encode().decode("latin-1")
+    assert [r["not_prose"] for r in quality(spark, shown, "wicket " * 9 + "\n" + shown)] == [False, False]
+
+
+def test_reasons_of_lines(spark):
+    got = quality(spark, "Click here to continue.\n" * 9, "a;1\nb;2\nc;3")
+    assert "repeated_lines" in got[0]["reasons"] and "marked_lines" in got[1]["reasons"] and all("not_prose" in r["reasons"] for r in got)
+
+
 def test_excluded_rows(spark):
     df = spark.createDataFrame([("a = b;\nc = d;", "code"), ("a = b;\nc = d;", None)], "text string, kind string")
     assert {(r["kind"], r["not_prose"]) for r in with_quality(df, excluded=F.col("kind") == "code").collect()} == {("code", False), (None, True)}
