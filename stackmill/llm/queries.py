@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from stackmill.llm.encoding import reread
 from stackmill.llm.leaks import leaked, removal_spans
+from stackmill.llm.neighbours import nearest, pairs_of
 from stackmill.llm.packing import packed
 from stackmill.llm.prose import with_quality
 from stackmill.llm.scans import noise, paragraphs
+from stackmill.llm.splitting import pieces
 from stackmill.llm.subjects import assign
 from stackmill.session import table
 
@@ -28,6 +30,18 @@ def p1_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quality(spark, sf_dir).drop("text", "code").distinct()
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs_of(nearest(table(spark, sf_dir, "points")))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces(table(spark, sf_dir, "rcts_cases")).where("oversized and piece_no = 0").select("case_id", "finest")
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces(table(spark, sf_dir, "rcts_cases")).select("case_id", "piece_no", "start", "text", "cut")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return noise(table(spark, sf_dir, "text_spans"))
 
@@ -67,5 +81,15 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "subject")
 
 
-QUERIES = {"p1_found": p1_found, "p1_statistics": p1_statistics, "p3_found": p3_found, "p3_paragraphs": p3_paragraphs, "p4_found": p4_found, "p4_restored": p4_restored, "p6_packed": p6_packed, "p7_found": p7_found, "p7_removal_spans": p7_removal_spans, "p8_found": p8_found}
-SQL: dict[str, str] = {}
+QUERIES = {"p1_found": p1_found, "p1_statistics": p1_statistics, "p2_found": p2_found, "p3_found": p3_found, "p3_paragraphs": p3_paragraphs, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_packed": p6_packed, "p7_found": p7_found, "p7_removal_spans": p7_removal_spans, "p8_found": p8_found}
+SQL = {
+    "p5_found": r"""
+with cases as (select distinct case_id, chunk_size, regexp_replace(text, '^[\s\p{Z}\x0b\x1c-\x1f\x85]+|[\s\p{Z}\x0b\x1c-\x1f\x85]+$', '', 'g') as t
+               from rcts_cases where text is not null and chunk_size >= 1),
+over as (select * from cases where length(t) > chunk_size),
+parts as (select case_id, chunk_size,
+    list_max(list_transform(regexp_split_to_array(t, '\n(?:[\t\r\f\x0b\p{Z}\x1c-\x1f\x85]*\n)+'), lambda x: length(regexp_replace(x, '^[\s\p{Z}\x0b\x1c-\x1f\x85]+|[\s\p{Z}\x0b\x1c-\x1f\x85]+$', '', 'g')))) as p,
+    list_max(list_transform(string_split(t, chr(10)), lambda x: length(regexp_replace(x, '^[\s\p{Z}\x0b\x1c-\x1f\x85]+|[\s\p{Z}\x0b\x1c-\x1f\x85]+$', '', 'g')))) as l,
+    list_max(list_transform(regexp_split_to_array(t, '[\s\p{Z}\x0b\x1c-\x1f\x85]+'), lambda x: length(x))) as w from over)
+select case_id, case when p <= chunk_size then 'paragraph' when l <= chunk_size then 'line' when w <= chunk_size then 'word' else 'char' end as finest from parts""",
+}
