@@ -1,4 +1,6 @@
-"""A vocabulary as a trie, intersected with the automaton of the ways in which a scanned word may have been misread."""
+"""A vocabulary as a trie, intersected with automata of the ways in which a scanned word may have been misread: first with
+that of known misreadings, then with the Levenshtein automaton of the word, which lets through every word within one or
+two edits."""
 
 from __future__ import annotations
 
@@ -13,11 +15,16 @@ HIGHEST = "\U0010ffff"
 
 
 class Lexicon:
-    """Words with their counts. The trie is the sorted list itself: a node is the range of words with its prefix."""
+    """Words with their counts. The trie is the sorted list itself: a node is the range of words with its prefix.
 
-    def __init__(self, counts: dict[str, int], pairs: dict[tuple[str, str], int] | None = None) -> None:
-        self.counts, self.words, self.pairs = counts, sorted(counts), pairs or {}
+    `pairs` are known pairs of neighbouring words, and `often` words that recur in scans, so that they are no single misreadings.
+    """
+
+    def __init__(self, counts: dict[str, int], pairs: dict[tuple[str, str], int] | None = None, often: frozenset[str] = frozenset()) -> None:
+        self.counts, self.words, self.pairs, self.often = counts, sorted(counts), pairs or {}, often
         self.known: dict[tuple[str, int], list[tuple[int, int, str]]] = {}
+        self.near: dict[tuple[str, int], list[tuple[int, int, str]]] = {}
+        self.nodes: dict[tuple[int, int, int], list[tuple[str, int, int]]] = {}
 
     def __contains__(self, word: str) -> bool:
         return word in self.counts
@@ -48,34 +55,57 @@ class Lexicon:
         self.known[word, most] = got = sorted((e, -self.counts[w], w) for w, e in found.items())
         return got
 
-    def nearest(self, word: str) -> list[tuple[int, int, str]]:
-        """The words at Levenshtein distance 1, for words that no known misreading explains."""
-        found: set[str] = set()
-        stack = [(0, "", 0, len(self.words), False)]
+    def children(self, lo: int, hi: int, depth: int) -> list[tuple[str, int, int]]:
+        """The letters that follow a prefix of `depth` letters, each with the range of words that go on with it."""
+        if (lo, hi, depth) not in self.nodes:
+            out, at = [], lo + (len(self.words[lo]) == depth)
+            while at < hi:
+                end = bisect_left(self.words, self.words[at][: depth + 1] + HIGHEST, at, hi)
+                out.append((self.words[at][depth], at, end))
+                at = end
+            self.nodes[lo, hi, depth] = out
+        return self.nodes[lo, hi, depth]
+
+    def nearest(self, word: str, most: int = 1) -> list[tuple[int, int, str]]:
+        """(edits, minus count, word) of every word within `most` edits, at least one: a letter more, less or another one,
+        or two letters for one of MISREADINGS.
+
+        The automaton is run with a bitmap for each number of edits, whose bit i says that i letters of `word` are read.
+        """
+        if (word, most) in self.near:
+            return self.near[word, most]
+        end, inside = 1 << len(word), (2 << len(word)) - 1
+        same: dict[str, int] = {}
+        merged: dict[str, int] = {}
+        for i, c in enumerate(word):
+            same[c] = same.get(c, 0) | 1 << i
+            for meant in MISREADINGS.get(word[i : i + 2], ()) if i + 1 < len(word) else ():
+                if len(meant) == 1:
+                    merged[meant] = merged.get(meant, 0) | 1 << i
+        start = [1]
+        for _ in range(most):
+            start.append((start[-1] | start[-1] << 1) & inside)
+        found: dict[str, int] = {}
+        stack = [(0, len(self.words), 0, start)] if self.words else []
         while stack:
-            i, prefix, lo, hi, used = stack.pop()
-            if i == len(word) and lo < hi and self.words[lo] == prefix and used:
-                found.add(prefix)
-            if i < len(word):
-                a, b = self._child(prefix + word[i], lo, hi)
-                if a < b:
-                    stack.append((i + 1, prefix + word[i], a, b, used))
-            if not used:
-                if i < len(word):
-                    stack.append((i + 1, prefix, lo, hi, True))
-                at = lo
-                while at < hi:  # every child of this node
-                    w = self.words[at]
-                    if len(w) == len(prefix):
-                        at += 1
-                        continue
-                    c = w[len(prefix)]
-                    a, b = self._child(prefix + c, at, hi)
-                    stack.append((i, prefix + c, a, b, True))
-                    if i < len(word) and c != word[i]:
-                        stack.append((i + 1, prefix + c, a, b, True))
-                    at = b
-        return sorted((1, -self.counts[w], w) for w in found)
+            lo, hi, depth, read = stack.pop()
+            if len(self.words[lo]) == depth:
+                edits = next((e for e, bits in enumerate(read) if bits & end), 0)
+                if edits:
+                    found[self.words[lo]] = edits
+            for c, a, b in self.children(lo, hi, depth):
+                at, two = same.get(c, 0), merged.get(c, 0)
+                now = [(read[0] & at) << 1]
+                for e in range(1, most + 1):
+                    now.append(((read[e] & at) << 1 | read[e - 1] | read[e - 1] << 1 | now[e - 1] << 1 | (read[e - 1] & two) << 2) & inside)
+                if any(now):
+                    stack.append((a, b, depth + 1, now))
+        self.near[word, most] = got = sorted((e, -self.counts[w], w) for w, e in found.items())
+        return got
+
+    def fitting(self, options: list[tuple[int, int, str]], before: str, after: str) -> list[tuple[int, int, str]]:
+        """The readings that stand beside both neighbours in known pairs; none where there is no neighbour."""
+        return [o for o in options if (before or after) and (not before or (before, o[2]) in self.pairs) and (not after or (o[2], after) in self.pairs)]
 
     def best(self, options: list[tuple[int, int, str]], before: str, after: str) -> str:
         """Of the readings with the fewest edits, the one that best fits the words before and after it, then the most frequent."""

@@ -7,7 +7,7 @@ pages, each with a few pages around it, so that no source has to fit into one ta
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from itertools import pairwise
@@ -18,13 +18,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stackmill.llm.lexicon import Lexicon
-from stackmill.llm.words import COMMON, common_in
+from stackmill.llm.words import LETTERS, language
 from stackmill.session import tasks
 
 #: Pages of a block, and pages before and after it that are read along.
 BLOCK, AROUND = 64, 4
-#: Words of each language, and pairs of words, that the vocabulary keeps: the most frequent ones.
-WORDS_MOST, PAIRS_MOST = 100_000, 200_000
+#: Least times of a word, pair or compound, and its least share of all of its kind, which bounds their number at any size.
+TIMES, SHARE = 3, 1e-7
+#: Least times, in two scans, from which on a word of scans is no single misreading.
+RECURS = 5
+#: Lines whose words tell the language that they are read in.
+LINES = 40
+#: Different words and pairs that a task counts before it hands them on.
+HELD = 400_000
 HYPHENS = "-‐¬­"
 LINE_HYPHEN = re.compile(rf"(\S*[^\W\d_])([{HYPHENS}])\s*$")
 APART = re.compile(r"(?<!\S)[^\W\d_](?:\s{1,3}[^\W\d_](?!\S)){2,}")
@@ -153,6 +159,8 @@ def misread(part: str, lexicon: Lexicon, before: str = "", after: str = "") -> s
     if re.fullmatch(r"[0-9lO|I]+", part) and re.search(r"\d", part):
         return part.translate(str.maketrans("lO|I", "1011"))
     got = lexicon.readings(low, 1 if len(low) <= 3 else 2 if len(low) <= 5 else 3)
+    if not got and len(low) >= 4 and low.isalpha() and low not in lexicon.often:  # no known misreading: all words within one edit or two that fit in
+        got = lexicon.fitting(lexicon.nearest(low, 1), before, after) or (lexicon.fitting(lexicon.nearest(low, 2), before, after) if len(low) >= 7 else [])
     if not got:  # a sign that no word holds is misread in an unknown name too
         plain = re.sub(r"(?<=[a-z])[0159](?=[a-z])", lambda m: "olsg"["0159".index(m[0])], part.translate(SIGNS))
         return plain if plain != part and len(part) > 3 and plain.isalpha() else None
@@ -185,10 +193,13 @@ def cleaned(pages: list[Page], first: bool, lexicons: dict[str, Lexicon], compou
     furniture(pages, first)
     noise = [(p.span, i, k) for p in pages if p.own for i, k in enumerate(p.kind) if k in ("pageno", "header")]
     body = [(p, i) for p in pages for i, k in enumerate(p.kind) if k == "text"]
-    seen = Counter(w.lower() for p, i in body[:400] for w in p.lines[i].split())
-    lexicon = max(lexicons.values(), key=lambda x: sum(n for w, n in seen.items() if w in x), default=Lexicon({}))
+    read = [(p.lines[i].lower().split()) for p, i in body]
+    lexicon = Lexicon({})
     carried, fixed = None, []  # carried: the part of a cut word that is waiting for its rest
     for k, (p, i) in enumerate(body):
+        if k % LINES == 0:  # the language of these lines and as many around them
+            seen = Counter(w for words in read[max(0, k - LINES // 2) : k + LINES + LINES // 2] for w in words)
+            lexicon = max(lexicons.values(), key=lambda x: sum(n for w, n in seen.items() if w in x), default=lexicon)
         line = p.lines[i]
         spaces = letters_apart(line)
         if spaces and p.own:
@@ -275,37 +286,84 @@ def reflowed(pages: list[Page], fixed: list[tuple[Page, int, str]]) -> list[tupl
 
 def scanned_sources(spans: DataFrame) -> DataFrame:
     """Sources whose spans are scanned pages: one page to a span, of many lines each."""
-    lines = F.size(F.split("text", "\n")) - 1
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
     paged = F.when(F.col("page").isNotNull(), F.col("span_id"))
     by = spans.groupBy("source_id").agg(F.countDistinct(paged).alias("paged"), F.countDistinct("page").alias("pages"), F.avg(F.when(F.length(F.trim("text")) > 0, lines)).alias("breaks"))
     return by.where((F.col("paged") > 0) & (F.col("pages") >= 0.98 * F.col("paged")) & (F.col("breaks") >= 8)).select("source_id")
 
 
-def vocabulary(spans: DataFrame, scans: DataFrame, words_most: int = WORDS_MOST, pairs_most: int = PAIRS_MOST) -> tuple[dict[str, dict[str, int]], dict[tuple[str, str], int], set[str]]:
+COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
+
+
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """kind, lang, key, n and the first and last source of the words, pairs and compounds of the rows of a task, added up as far as memory allows."""
+    held: dict[tuple[str, str, str], list] = {}
+
+    def rows() -> pd.DataFrame:
+        return pd.DataFrame([(*k, *v) for k, v in held.items()], columns=["kind", "lang", "key", "n", "a", "b"])
+
+    def add(kind: str, lang: str, found: Counter, source: str) -> None:
+        for key, n in found.items():
+            if (v := held.get((kind, lang, key))) is None:
+                held[kind, lang, key] = [n, source, source]
+            else:
+                v[0] += n
+                v[1], v[2] = min(v[1], source), max(v[2], source)
+
+    for pdf in batches:
+        for source, text, scan in zip(pdf["source_id"], pdf["text"], pdf["scan"]):
+            low = text.lower()
+            words = [w for w in LETTERS.findall(low) if len(w) < 40]
+            times = Counter(words)
+            if scan:
+                add("scan", "", times, source)
+            else:
+                lang = language(times) or ""
+                add("word", lang, times, source)
+                add("total", lang, Counter({"": len(words)}), source)
+                add("pair", "", Counter(f"{x} {y}" for x, y in pairwise(words)), source)
+                if "-" in low:
+                    add("compound", "", Counter(COMPOUND.findall(low)), source)
+            if len(held) > HELD:
+                yield rows()
+                held.clear()
+    yield rows()
+
+
+def vocabulary(spans: DataFrame, scans: DataFrame) -> tuple[dict[str, dict[str, int]], dict[tuple[str, str], int], frozenset[str], frozenset[str]]:
     """Words of each language with their counts, pairs of neighbouring words, and compounds with hyphens, over all spans
-    of sources that are no scans, rows as often as they stand there; a word must occur in two sources. Of each, the most
-    frequent ones are kept."""
-    plain = spans.where((F.coalesce("kind", F.lit("")) != "Code") & F.col("text").isNotNull()).join(scans, "source_id", "left_anti")
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "")
-    lang = F.array_max(F.array(*[F.struct(common_in(F.col("words"), x).alias("n"), F.lit(x).alias("lang")) for x in sorted(COMMON, reverse=True)]))
-    told = plain.select("source_id", "text", words.alias("words")).withColumn("lang", lang["lang"])
-    counted = told.select("source_id", "lang", F.explode("words").alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"), F.min("source_id").alias("a"), F.max("source_id").alias("b"))
-    counted = counted.where((F.col("n") >= 3) & (F.col("a") != F.col("b")) & (F.length("w") < 40))
-    langs: dict[str, dict[str, int]] = {}
-    for r in counted.orderBy(F.desc("n"), "lang", "w").limit(words_most * len(COMMON)).collect():
-        langs.setdefault(r["lang"], {})[r["w"]] = r["n"]
-    pair = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.concat_ws(" ", F.element_at("words", i), F.element_at("words", i + 1)))
-    pairs = told.where(F.size("words") > 1).select(F.explode(pair).alias("p")).groupBy("p").count().where("count >= 3").orderBy(F.desc("count"), "p").limit(pairs_most)
-    known = {tuple(r["p"].split(" ")): r["count"] for r in pairs.collect()}
-    compound = plain.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+(?:-\p{L}+)+)"), 1)).alias("c")).groupBy("c").count().where("count >= 3").orderBy(F.desc("count"), "c").limit(words_most)
-    return langs, known, {r["c"] for r in compound.collect()}
+    of sources that are no scans, rows as often as they stand there; and the words that recur in scans.
+
+    A word must stand in two sources. What is rarer than TIMES, or than the part SHARE of its kind, is left out at every
+    size, so that what the driver gets is bounded by 1 / SHARE.
+    """
+    texts = spans.where((F.coalesce("kind", F.lit("")) != "Code") & F.col("text").isNotNull()).select("source_id", "text")
+    told = texts.join(scans.withColumn("scan", F.lit(True)), "source_id", "left").withColumn("scan", F.coalesce("scan", F.lit(False)))
+    counted = told.mapInPandas(_counted, "kind string, lang string, key string, n bigint, a string, b string")
+    counted = counted.groupBy("kind", "lang", "key").agg(F.sum("n").alias("n"), F.min("a").alias("a"), F.max("b").alias("b")).persist(StorageLevel.MEMORY_AND_DISK)
+    total = {r["lang"]: r["n"] for r in counted.where("kind = 'total'").collect()}
+    of_lang = F.coalesce(*[F.when(F.col("lang") == lang, n) for lang, n in total.items()], F.lit(0))
+    least = F.when(F.col("kind") == "word", F.greatest(F.lit(TIMES), of_lang * SHARE)).when(F.col("kind") == "scan", F.greatest(F.lit(RECURS), sum(total.values()) * F.lit(SHARE))).otherwise(F.greatest(F.lit(TIMES), sum(total.values()) * F.lit(SHARE)))
+    kept = counted.where((F.col("kind") != "total") & (F.col("n") >= least) & (F.col("kind").isin("pair", "compound") | (F.col("a") != F.col("b"))))
+    langs: dict[str, dict[str, int]] = defaultdict(dict)
+    pairs: dict[tuple[str, str], int] = {}
+    compounds, often = set(), set()
+    for r in kept.select("kind", "lang", "key", "n").collect():
+        if r["kind"] == "word":
+            langs[r["lang"]][r["key"]] = r["n"]
+        elif r["kind"] == "pair":
+            pairs[tuple(r["key"].split(" "))] = r["n"]
+        else:
+            (compounds if r["kind"] == "compound" else often).add(r["key"])
+    counted.unpersist()
+    return {lang: langs[lang] for lang in sorted(langs) if lang}, pairs, frozenset(compounds), frozenset(often)
 
 
 def _worked(spans: DataFrame, schema: str, pick) -> DataFrame:
     spark = spans.sparkSession
     scans = scanned_sources(spans).persist(StorageLevel.MEMORY_AND_DISK)
     scans.count()  # from here on its size is known, and Spark broadcasts it where it is small enough
-    langs, pairs, compounds = vocabulary(spans, scans)
+    learned = spark.sparkContext.broadcast(vocabulary(spans, scans))
     pages = spans.join(scans, "source_id", "left_semi").select("source_id", "span_id", "span_index", "page", "text").dropDuplicates(["span_id"])
     block, at = (F.col("span_index") / BLOCK).cast("bigint"), F.pmod("span_index", F.lit(BLOCK))
     near = F.array_compact(F.array(block, F.when((at < AROUND) & (block > 0), block - 1), F.when(at >= BLOCK - AROUND, block + 1)))
@@ -313,8 +371,9 @@ def _worked(spans: DataFrame, schema: str, pick) -> DataFrame:
     made: dict[str, Lexicon] = {}
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        langs, pairs, compounds, often = learned.value
         if not made:
-            made.update({k: Lexicon(v, pairs) for k, v in langs.items()})
+            made.update({k: Lexicon(v, pairs, often) for k, v in langs.items()})
         pdf = pdf.sort_values(["span_index", "span_id"])
         block = int(pdf["block"].iloc[0])
         own = [Page(int(s), int(x), None if pd.isna(g) else g, t, int(h) == block) for s, x, g, t, h in zip(pdf["span_id"], pdf["span_index"], pdf["page"], pdf["text"], pdf["home"])]

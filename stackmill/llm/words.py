@@ -6,7 +6,6 @@ import re
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -48,8 +47,3 @@ def told_words(text: pd.Series) -> pd.DataFrame:
         langs.append(language(Counter(words)))
         kept.append(" ".join([w for w in words if len(w) >= 4 and w not in LANGUAGES_OF]))
     return pd.DataFrame({"lang": langs, "words": kept})
-
-
-def common_in(words: Column, lang: str) -> Column:
-    """How many of an array of lower-case words are common words of a language."""
-    return F.size(F.filter(words, lambda w: w.isin(COMMON[lang])))

@@ -1,7 +1,7 @@
 import pytest
 
-from stackmill.llm.lexicon import Lexicon
-from stackmill.llm.scans import is_page_number, letters_apart, noise, number, paragraphs
+from stackmill.llm.lexicon import MISREADINGS, Lexicon
+from stackmill.llm.scans import is_page_number, letters_apart, misread, noise, number, paragraphs
 
 SENTENCES = ["The bridge of the first harbour was closed before the winter of the long storm.", "Some of the letters must be copied twice before a reader will find the question.",
              "A well-known harbour is better than a quiet one, and the storm follows from it.", "They found that the winter and the bridge share a question about the first letter."]
@@ -54,16 +54,27 @@ def test_lexicon_against_brute_force():
     assert lex.readings("rnodern")[0][2] == "modern" and [w for _, _, w in lex.readings("class")] == ["dass"] and [w for _, _, w in lex.readings("vvith")] == ["with"]
     assert lex.readings("zzz") == []
 
-    def edits(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
-    for w in ("stil", "hatt", "barm", "clas"):
-        assert {x for _, _, x in lex.nearest(w)} == {x for x in words if edits(w, x) == 1}
+    def edits(a, b):  # two letters for one that they are misread from are one edit
+        d = [[i + j if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and b[j - 1] in MISREADINGS.get(a[i - 2 : i], ()):
+                    d[i][j] = min(d[i][j], d[i - 2][j - 1] + 1)
+        return d[-1][-1]
+
+    for w in ("stil", "hatt", "barm", "clas", "modeern", "wilt", "x"):
+        for most in (1, 2):
+            assert {x for _, _, x in lex.nearest(w, most)} == {x for x in words if 0 < edits(w, x) <= most}
+    assert [w for e, _, w in lex.nearest("rnodern", 1)] == ["modern"]  # two letters for one are one edit
+
+
+def test_unlisted_misreadings_are_repaired_where_they_fit():
+    lex = Lexicon({"bridge": 5, "fridge": 9, "question": 4, "take": 3}, {("the", "bridge"): 4, ("bridge", "of"): 4, ("a", "question"): 3, ("question", "about"): 3, ("to", "make"): 3}, frozenset({"tame"}))
+    assert misread("brodge", lex, "the", "of") == "bridge" and misread("bridqe", lex, "the", "of") == "bridge"  # substitutions
+    assert misread("brxidge", lex, "the", "of") == "bridge" and misread("brdge", lex, "the", "of") == "bridge"  # a letter more, a letter less
+    assert misread("qwestiom", lex, "a", "about") == "question"  # two edits
+    assert misread("brodge", lex, "mister", "spoke") is None and misread("tame", lex, "the", "of") is None and misread("brodge", lex) is None
 
 
 def test_context_decides():
