@@ -59,3 +59,11 @@ def verbatim(quote: Column, passage: Column, words: int = 8) -> Column:
     """True if the first words of a quotation stand in the passage, case and marks aside."""
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
     return F.contains(plain(passage), F.array_join(F.slice(F.split(plain(quote), " "), 1, words), " "))
+
+
+def quotations(answer: Column) -> Column:
+    """array<struct(quote, n)>: what stands in straight quotes, 30 to 400 characters, right before or right after a [n]."""
+    both = []
+    for pattern, quote, n in ((r'"([^"]{30,400})"\s*\[(\d+)\]', 1, 2), (r'\[(\d+)\]\s*"([^"]{30,400})"', 2, 1)):
+        both.append(F.arrays_zip(F.regexp_extract_all(answer, F.lit(pattern), F.lit(quote)).alias("quote"), F.regexp_extract_all(answer, F.lit(pattern), F.lit(n)).alias("n")))
+    return F.concat(*both)

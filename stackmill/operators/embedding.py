@@ -20,38 +20,49 @@ def is_recoverable(status: Column) -> Column:
     return status.isin(408, 429) | status.between(500, 599)
 
 
-def embedded(texts: DataFrame, client: Client, text: str = "text", batch: int = 96, fallback: Client | None = None) -> DataFrame:
-    """The rows with `vector` and `error`, the order of rows and texts kept. A batch that fails for good, or whose answer
-    has another length, fails its own rows only; after a Recoverable failure the fallback, if any, gets the same batch."""
+def embedded(texts: DataFrame, client: Client, text: str = "text", batch: int = 96, fallback: Client | None = None, mode: str | None = None, dim: int | None = None) -> DataFrame:
+    """The rows with `vector`, `error`, `recovered` and `primary_error`, the order of rows and texts kept.
+
+    A batch that fails for good, or whose answer has another length, or vectors of another dimension than `dim`, fails its
+    own rows only. After a Recoverable failure, and no other, the fallback, if any, gets the same batch: `primary_error`
+    then says why, and `recovered` whether it helped. With `mode` ("query" or "document") clients that read both
+    differently are called with it as their second argument.
+    """
+    if mode not in (None, "query", "document"):
+        raise ValueError(f"unknown mode {mode!r}")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema)
 
-    def ask(part: list[str]) -> tuple[list, str | None]:
-        error = None
+    def ask(part: list[str]) -> tuple[list, str | None, bool, str | None]:
+        first = None
         for c in (client, fallback):
             if c is None:
                 break
             try:
-                got = c(part)
+                got = c(part) if mode is None else c(part, mode)
                 if len(got) != len(part):
-                    return [None] * len(part), f"{len(got)} vectors for {len(part)} texts"
-                return got, None
+                    return [None] * len(part), f"{len(got)} vectors for {len(part)} texts", False, first
+                if dim is not None and any(len(v) != dim for v in got):
+                    return [None] * len(part), f"vectors of another dimension than {dim}", False, first
+                return got, None, first is not None, first
             except Recoverable as e:
-                error = f"recoverable: {e}"[:200]
+                if first is not None:
+                    return [None] * len(part), f"{first}; fallback recoverable: {e}"[:400], False, first
+                first = f"recoverable: {e}"[:200]
             except Exception as e:  # noqa: BLE001  a batch that fails is rows with an error
-                return [None] * len(part), f"terminal: {e}"[:200]
-        return [None] * len(part), error
+                return [None] * len(part), (f"{first}; fallback terminal: {e}" if first else f"terminal: {e}")[:400], False, first
+        return [None] * len(part), first, False, first
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            vectors, errors = [], []
+            vectors, told = [], []
             for at in range(0, len(pdf), batch):
                 part = pdf[text].iloc[at : at + batch].tolist()
-                got, error = ask(part)
+                got, *rest = ask(part)
                 vectors += got
-                errors += [error] * len(part)
-            yield pdf.assign(vector=vectors, error=errors)
+                told += [rest] * len(part)
+            yield pdf.assign(vector=vectors, error=[x[0] for x in told], recovered=[x[1] for x in told], primary_error=[x[2] for x in told])
 
-    return texts.mapInPandas(work, f"{schema}, vector array<float>, error string")
+    return texts.mapInPandas(work, f"{schema}, vector array<float>, error string, recovered boolean, primary_error string")
 
 
 def scored(pairs: DataFrame, judge: Callable[[str, str], str], question: str = "q", text: str = "text") -> DataFrame:

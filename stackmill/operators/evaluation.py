@@ -16,8 +16,11 @@ def ranked(hits: DataFrame, query: str, score: str = "score", ties: tuple[str, .
     return hits.withColumn("rn", F.row_number().over(Window.partitionBy(query).orderBy(F.desc(score), *ties)))
 
 
-def confidence(hits: DataFrame, query: str = "probe_id", rank: str = "rn") -> DataFrame:
-    """One row a query: top_score, margin to the second, score_spread, fragment_rate of the first five, value and label."""
+def confidence(hits: DataFrame, query: str = "probe_id", rank: str = "rn", queries: DataFrame | None = None) -> DataFrame:
+    """One row a query: top_score, margin to the second, score_spread, fragment_rate of the first five, value and label.
+
+    With `queries`, each of them has a row; without a hit its numbers are 0 and its label is likely_no_answer.
+    """
     score = F.col("score").cast("double")
     rows = hits.withColumn("frag", F.coalesce(is_fragment(F.col("text")), F.lit(True)).cast("double"))
     out = rows.groupBy(query).agg(
@@ -26,7 +29,10 @@ def confidence(hits: DataFrame, query: str = "probe_id", rank: str = "rn") -> Da
     out = out.withColumn("margin", F.coalesce(F.col("top_score") - F.col("second"), F.lit(0.0))).drop("second")
     value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("top_score") * (1 - 0.5 * F.col("fragment_rate"))))
     label = F.when(F.col("top_score") < NO_ANSWER, "likely_no_answer").when((F.col("top_score") >= STRONG) & (F.col("margin") >= MARGIN) & (F.col("fragment_rate") <= FRAGMENTS), "strong").otherwise("weak")
-    return out.withColumns({"value": value, "label": label})
+    out = out.withColumns({"value": value, "label": label})
+    if queries is None:
+        return out
+    return queries.select(query).distinct().join(out, query, "left").na.fill(0.0, ["top_score", "score_spread", "fragment_rate", "margin", "value"]).na.fill("likely_no_answer", ["label"])
 
 
 def contains_any(text: Column, parts: Column) -> Column:

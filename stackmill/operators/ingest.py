@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackmill.functions import identity as ids
@@ -12,6 +12,39 @@ from stackmill.operators.search import stub_vector
 from stackmill.sources.config import PipelineConfig
 
 
+CHUNKERS = ("recursive", "blankline")
+
+
+def chunked(spans: DataFrame, config: PipelineConfig) -> DataFrame:
+    """source_id, chunk_index, page and text by the chunker that the configuration names; code always by windows of lines.
+
+    An unknown chunker is an error before any work.
+    """
+    if config.chunker not in CHUNKERS:
+        raise ValueError(f"unknown chunker {config.chunker!r} (one of {', '.join(CHUNKERS)})")
+    if config.content_type == "code":
+        at = spans.select("source_id", F.col("span_index").cast("bigint").alias("span_index"), F.col("page").cast("bigint").alias("page"), "text").withColumn("at", F.struct("source_id", "span_index", "page"))
+        parts = chunking.code_windows(at, "at").select("at.*", F.col("chunk_index").alias("piece"), "text")
+    elif config.chunker == "blankline":
+        parts = chunking.blank_line_chunks(spans.withColumn("span_index", F.col("span_index").cast("bigint")))
+        parts = parts.withColumn("piece", F.row_number().over(Window.partitionBy("source_id", "span_index").orderBy("block", "part")).cast("bigint") - 1)
+        parts = parts.join(spans.select("source_id", F.col("span_index").cast("bigint").alias("span_index"), F.col("page").cast("bigint").alias("page")).distinct(), ["source_id", "span_index"])
+    else:
+        parts = chunking.recursive_chunks(spans, config.chunk_size, config.chunk_overlap)
+    return chunking.with_chunk_index(parts).select("source_id", "chunk_index", "page", "text")
+
+
+def payload(content_type: str, path: Column, page: Column) -> Column:
+    """The tagged payload of a chunk as JSON: {"Book": {"title", "page"}}, {"Paper": {"title", "page_start", "page_end"}}
+    or {"Code": {"file_path"}}; titles are the file's stem, and what is null is left out."""
+    if content_type == "code":
+        return F.to_json(F.struct(F.struct(path.alias("file_path")).alias("Code")))
+    title = t.file_stem(path).alias("title")
+    if content_type == "paper":
+        return F.to_json(F.struct(F.struct(title, page.alias("page_start"), page.alias("page_end")).alias("Paper")))
+    return F.to_json(F.struct(F.struct(title, page.alias("page")).alias("Book")))
+
+
 def staged(spans: DataFrame, config: PipelineConfig, done: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(points, outcomes) of the spans of new sources.
 
@@ -27,9 +60,9 @@ def staged(spans: DataFrame, config: PipelineConfig, done: DataFrame | None = No
     whole = whole.withColumn("reason", reason).withColumn("error", F.coalesce("error", F.when(F.coalesce("chars", F.lit(0)) == 0, "empty extract")))
     good = whole.where("reason is null and error is null").select("source_id")
     kept = spans.join(good, "source_id", "left_semi")
-    chunks = chunking.with_chunk_index(chunking.recursive_chunks(kept, config.chunk_size, config.chunk_overlap))
+    chunks = chunked(kept, config)
     points = chunks.select(ids.point_id(F.col("source_id"), F.col("chunk_index")).alias("point_id"), F.lit(config.collection).alias("collection"), "source_id", "chunk_index",
-                           F.lit(config.content_type).alias("content_type"), "text", F.transform(stub_vector(F.col("text")), lambda x: x.cast("float")).alias("vector"))
+                           F.lit(config.content_type).alias("content_type"), "text", payload(config.content_type, F.col("source_id"), F.col("page")).alias("payload_json"), F.transform(stub_vector(F.col("text")), lambda x: x.cast("float")).alias("vector"))
     flagged = F.col("marks") * 1000.0 / F.greatest(F.col("chars"), F.lit(1)) > config.garble_threshold
     entry = lambda stage, status, message: F.struct(F.lit(stage).alias("stage"), status.alias("status"), message.cast("string").alias("error"))
     none = F.lit(None)

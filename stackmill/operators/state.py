@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 INGESTED = ["success", "cached", "recovered_via_fallback"]
 
 
+# What a stage may have come to.
+STATUSES = ["pending", "success", "cached", "failed", "recovered_via_fallback", "skipped", "flagged", "removed"]
+
+
+def parsed_status(status: Column) -> Column:
+    """The status in its own spelling, whatever the case and the signs between words; null for any other."""
+    plain = F.regexp_replace(F.regexp_replace(status, r"(?<=[a-z])(?=[A-Z])", "_"), r"[\s-]+", "_")
+    return F.when(F.lower(plain).isin(STATUSES), F.lower(plain))
+
+
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The newest row of each key by `order` (newest first); map tasks already drop all but one row of each key."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -100,7 +100,7 @@ def fn26_composite(spark, d):
 def agg7_chunk_recall(spark, d):
     items = table(spark, d, "eval_items").select("item_id", "relevant", "keywords").distinct()
     rows = hits(spark, d).withColumn("item_id", 1001 + F.col("probe_id") % 200).join(items, "item_id")
-    found = ev.contains_any(F.col("source_id"), F.col("relevant")) & (F.length("text") >= 50) & F.forall("keywords", lambda k: F.contains(F.lower("text"), F.lower(k)))
+    found = ev.contains_any(F.col("source_id"), F.col("relevant")) & (F.length("text") >= 200) & F.forall("keywords", lambda k: F.contains(F.lower("text"), F.lower(k)))
     per = rows.groupBy("probe_id").agg(F.min(F.when(found, F.col("rank_no"))).alias("r"))
     return per.agg(F.round(F.avg(F.col("r").isNotNull().cast("double")), 6).alias("recall"), F.round(F.avg(F.coalesce(1.0 / F.col("r"), F.lit(0.0))), 6).alias("mrr"))
 
@@ -135,7 +135,12 @@ def top9_stride(spark, d):
 
 
 def set5_cited_sources(spark, d):
-    return hits(spark, d).groupBy("probe_id").agg(F.countDistinct("source_id").alias("sources"), F.countDistinct("content_type").alias("kinds"))
+    """For each probe, the sources of its hits whose places its texts cite as [n]; all its sources where none is cited."""
+    h = hits(spark, d)
+    said = h.where("text is not null").select("probe_id", F.explode(F.array_distinct(a.cited(F.col("text")))).alias("n")).select("probe_id", F.expr("try_cast(n as bigint)").alias("rank_no")).distinct()
+    named = h.join(said, ["probe_id", "rank_no"]).groupBy("probe_id").agg(F.countDistinct("source_id").alias("cited"))
+    every = h.groupBy("probe_id").agg(F.countDistinct("source_id").alias("every"))
+    return every.join(named, "probe_id", "left").select("probe_id", F.coalesce("cited", "every").alias("sources"), F.coalesce("cited", F.lit(0)).alias("cited"))
 
 
 def exp1_windows(spark, d):
@@ -188,14 +193,15 @@ SQL = {
     "fn20_citations": r"select doc_id, len(list_distinct(regexp_extract_all(text, '\[(\d+)\]', 1)))::bigint as cited, round(len(regexp_extract_all(text, '\[\d+\]')) / greatest(len(regexp_extract_all(text, '[.!?]')), 1)::double, 6) as density, "
                       + " or ".join(f"contains(lower(substr(text, 1, 160)), '{p.replace(chr(39), chr(39) * 2)}')" for p in a.DECLINES) + " as declines from documents",
     "fn26_composite": f"select span_id, round({_DENSITY} + 1000.0::double * {x._MARKS} / greatest(length(text), 1) + least(dd % 2 + abs(s - 2 * dd) % 2 + coalesce(abs(o - c) / nullif(o + c, 0)::double, 0.0), 5.0), 6) as value from {_LATEX}",
-    "agg7_chunk_recall": f"with p as (select probe_id, min(case when list_bool_or(list_transform(relevant, lambda z: contains(lower(source_id), lower(z)))) and length(text) >= 50 and coalesce(list_bool_and(list_transform(keywords, lambda k: contains(lower(text), lower(k)))), true) then rank_no end) as r "
+    "agg7_chunk_recall": f"with p as (select probe_id, min(case when list_bool_or(list_transform(relevant, lambda z: contains(lower(source_id), lower(z)))) and length(text) >= 200 and coalesce(list_bool_and(list_transform(keywords, lambda k: contains(lower(text), lower(k)))), true) then rank_no end) as r "
                          f"from {r._H} h join (select distinct item_id, relevant, keywords from eval_items) i on i.item_id = 1001 + h.probe_id % 200 group by 1) select round(avg(case when r is not null then 1.0::double else 0 end), 6) as recall, round(avg(coalesce(1.0::double / r, 0)), 6) as mrr from p",
     "agg14_arms": f"select * from {_ARMS}",
     "agg25_coverage": f"with p as (select source_id, max(page) as last, min(page) as first, count(distinct page) as pages from {x._SPANS} group by 1 having max(page) is not null) select source_id, round(pages / (last - first + 1)::double, 6) as coverage, pages / (last - first + 1)::double between 0.8 and 1.02 as healthy from p",
     "top7_flagged": "select source_id, round(max(value), 6) as value from (select distinct * from garble_signals) where flagged group by 1",
     "top8_best_arm": f"select content_type, arg_max(rank_no, (quality, -chars, -rank_no)) as best from {_ARMS} where content_type is not null group by 1",
     "top9_stride": "with s as (select distinct split_part(source_id, '/', 1) as shelf, source_id from sources), n as (select *, row_number() over (partition by shelf order by source_id) - 1 as at_, greatest(1, count(*) over (partition by shelf) // 3) as step from s) select shelf, source_id from n where at_ % step = 0 and at_ / step < 3",
-    "set5_cited_sources": f"select probe_id, count(distinct source_id) as sources, count(distinct content_type) as kinds from {r._H} group by 1",
+    "set5_cited_sources": rf"with s as (select distinct probe_id, try_cast(unnest(regexp_extract_all(text, '\[(\d+)\]', 1)) as bigint) as rank_no from {r._H} where text is not null), n as (select probe_id, count(distinct source_id) as cited from {r._H} h join s using (probe_id, rank_no) group by 1), "
+                          f"e as (select probe_id, count(distinct source_id) as every from {r._H} group by 1) select probe_id, coalesce(cited, every) as sources, coalesce(cited, 0) as cited from e left join n using (probe_id)",
     "exp1_windows": f"select hit_id, count(*) as chunks, sum(length(p.text))::bigint as chars from {r._H} h join (select distinct point_id, source_id, chunk_index, text from points) p on p.source_id = h.source_id and p.chunk_index >= greatest(h.chunk_index - 1, 0) and p.chunk_index < h.chunk_index + 2 group by 1",
     "st2_log_windows": "select (floor(epoch(ts))::bigint // 3600) * 3600 as start, event_type as route, count(*) as n, count_if(event_type = 'error')::bigint as failed from events group by 1, 2",
     "st_sessions": "with g as (select user_id, case when lag(ts) over w is null or ts - lag(ts) over w >= interval 6 hours then 1 else 0 end as fresh, ts from events window w as (partition by user_id order by ts)), s as (select user_id, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from g), "

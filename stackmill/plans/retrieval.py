@@ -43,7 +43,7 @@ def flt3_chunk_range(spark, d):
 
 
 def flt5_empty_queries(spark, d):
-    return hits(spark, d).select("hit_id", F.when(F.trim(F.coalesce("q", F.lit(""))) == "", "EmptyQuery").alias("error"))
+    return hits(spark, d).select("hit_id", F.when(F.coalesce("q", F.lit("")).rlike(r"\A(?U)\s*\z"), "EmptyQuery").alias("error"))
 
 
 def flt7_relevant_hits(spark, d):
@@ -316,7 +316,7 @@ _NEAR = ("(select * from (select q.vec_id as query, v.vec_id as key, v.label as
 SQL = {
     "flt1_content_type": f"select point_id from {_P} where content_type = 'paper'",
     "flt3_chunk_range": f"select point_id, source_id, chunk_index from {_P} where chunk_index >= 2 and chunk_index < 5",
-    "flt5_empty_queries": f"select hit_id, case when trim(coalesce(q, ''), ' ') = '' then 'EmptyQuery' end as error from {_H}",
+    "flt5_empty_queries": f"select hit_id, case when regexp_full_match(coalesce(q, ''), '[\\s\\p{{Z}}\\x0b\\x85]*') then 'EmptyQuery' end as error from {_H}",
     "flt7_relevant_hits": f"select hit_id, relevant_hit from {_J}",
     "flt8_answer_bearing": f"select hit_id, coalesce(list_bool_or(list_transform(relevant, lambda r: contains(lower(source_id), lower(r)))) and length(text) >= 200 and coalesce(list_bool_and(list_transform(keywords, lambda k: contains(lower(text), lower(k)))), true), false) as answers "
                            f"from {_H} h join (select distinct item_id, relevant, keywords from eval_items) i on i.item_id = 1001 + h.probe_id % 200",
