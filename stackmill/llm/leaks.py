@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackmill.llm.fmindex import FMIndex
-from stackmill.session import tasks
+from stackmill.session import spread
 
 WORD = re.compile(r"[^\W_]+")
 TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
 ENTITY = re.compile(r"&(?:#[0-9]{1,20}(?![0-9])|#[xX][0-9A-Fa-f]{1,16}(?![0-9A-Fa-f])|[A-Za-z][A-Za-z0-9]*);?")
 #: Words of the documents in one index, and characters of evaluation texts that one pass looks for.
-SHARD, PASS = 1_000_000, 1 << 24
+SHARD, PASS = 1_000_000, 1 << 22
 
 
 def decoded(text: str) -> tuple[str, list[int], list[int]]:
@@ -117,6 +117,17 @@ def _search(batch: list[tuple], phrases: list[list[int]], seeds: np.ndarray, see
                 yield doc, p, found[x][1], found[y - 1][2], b - a
 
 
+def seeds_of(phrases: list[list[int]], seed: int) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
+    """Every different run of `seed` words of the phrases, and the (phrase, place) where each of them stands."""
+    runs = np.concatenate([np.lib.stride_tricks.sliding_window_view(np.array(ids, dtype=np.int64), seed) for ids in phrases])
+    places = [(p, i) for p, ids in enumerate(phrases) for i in range(len(ids) - seed + 1)]
+    seeds, which = np.unique(runs, axis=0, return_inverse=True)
+    seed_of: list[list[tuple[int, int]]] = [[] for _ in seeds]
+    for place, k in zip(places, which.ravel().tolist()):
+        seed_of[k].append(place)
+    return seeds, seed_of
+
+
 def leaked(documents: DataFrame, items: DataFrame, least: int = 15, seed: int = 7, key: str = "doc_id", text: str = "text", item: str = "item_id", fields: tuple[str, ...] = ("q", "passage")) -> DataFrame:
     """Document, item, field, first and last character and number of the item's words, for each passage given away.
 
@@ -128,7 +139,7 @@ def leaked(documents: DataFrame, items: DataFrame, least: int = 15, seed: int =
     """
     spark = documents.sparkSession
     docs = documents.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).where(F.length(F.trim(text)) > 0)
-    docs = docs.repartition(tasks(spark), "doc", "text")
+    docs = spread(docs)
     sizes = items.agg(*[F.sum(F.length(f)).alias(f) for f in fields]).first()
     passes = 1 + sum(x or 0 for x in sizes) // PASS
     schema = "doc bigint, item bigint, field string, first bigint, last bigint, words bigint"
@@ -144,15 +155,14 @@ def leaked(documents: DataFrame, items: DataFrame, least: int = 15, seed: int =
         vocabulary = {w: n + 2 for n, w in enumerate(sorted({w for ws in told for w in ws}))}
         phrases = [[vocabulary[w] for w in ws] for ws in sorted(told)]
         owners = [sorted(told[ws]) for ws in sorted(told)]
-        places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for p, ids in enumerate(phrases):
-            for i in range(len(ids) - seed + 1):
-                places.setdefault(tuple(ids[i : i + seed]), []).append((p, i))
-        if not places:
+        if not phrases:
             continue
-        seeds, seed_of = np.array(list(places), dtype=np.int64), list(places.values())
+        sent = spark.sparkContext.broadcast((phrases, owners, vocabulary))
+
+        def work(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            phrases, owners, vocabulary = sent.value
+            seeds, seed_of = seeds_of(phrases, seed)
 
-        def work(batches: Iterator[pd.DataFrame], phrases=phrases, owners=owners, seeds=seeds, seed_of=seed_of, vocabulary=vocabulary) -> Iterator[pd.DataFrame]:
             def shard(rows: list[tuple]) -> pd.DataFrame:
                 got = [(d, i, f, a, b, n) for d, p, a, b, n in _search(rows, phrases, seeds, seed_of, vocabulary, least, seed) for i, f in owners[p]]
                 return pd.DataFrame(got, columns=["doc", "item", "field", "first", "last", "words"])

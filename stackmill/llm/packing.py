@@ -18,7 +18,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stackmill.session import tasks
+from stackmill.session import spread, tasks
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How a byte-level tokenizer parts a text before it merges bytes.
@@ -26,22 +26,39 @@ PARTS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s
 
 
 def token_counts(documents: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """Key and number of tokens of each document; null texts have none. The tokenizer's file is read by each worker."""
+    """Key and number of tokens of each document; null texts have none. The driver reads the tokenizer's file, of fixed
+    size, and sends it along, so that no worker needs it in its own place; texts stay where they are."""
     rows = documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
 
+    with open(tokenizer, "rb") as f:
+        sent = documents.sparkSession.sparkContext.broadcast(f.read())
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with open(tokenizer, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, sent.value.splitlines())}
         enc = tiktoken.Encoding("own", pat_str=PARTS, mergeable_ranks=ranks, special_tokens={})
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "tokens": [len(enc.encode_ordinary(t)) if t else 0 for t in pdf["text"]]})
 
-    return rows.repartition(tasks(documents.sparkSession), "doc_id").mapInPandas(work, "doc_id bigint, tokens bigint")
+    return spread(rows).mapInPandas(work, "doc_id bigint, tokens bigint")
+
+
+def triples(lengths: np.ndarray, capacity: int, most: int) -> Iterator[tuple[int, int]]:
+    """The two smaller lengths of patterns of three, evenly picked so that about `most` pairs come out, and all if there are fewer."""
+    first = np.arange(len(lengths))
+    ends = np.searchsorted(lengths, (capacity - lengths) // 2, side="right")  # the second is at most half of what is left
+    counts = np.maximum(0, ends - first)
+    before = np.concatenate([[0], np.cumsum(counts)])
+    picked = np.unique(np.linspace(0, before[-1] - 1, min(most, before[-1])).astype(np.int64)) if before[-1] else np.empty(0, dtype=np.int64)
+    i = np.searchsorted(before, picked, side="right") - 1
+    yield from zip(lengths[i].tolist(), lengths[i + picked - before[i]].tolist())
 
 
 def patterns_for(lengths: np.ndarray, counts: np.ndarray, capacity: int, most: int = 4000, seed: int = 5) -> list[dict[int, int]]:
     """Patterns (length: how often) that fill a container, or nearly: all of one and two lengths and many of three, and
-    longer ones filled by lengths drawn as frequent as they are and closed by the best fitting one."""
+    longer ones filled by lengths drawn as frequent as they are and closed by the best fitting one.
+
+    About `most` patterns of each kind are tried, whatever the capacity; lengths in no pattern are packed with the rest.
+    """
     have = set(lengths.tolist())
     found: dict[tuple, dict[int, int]] = {}
 
@@ -54,10 +71,8 @@ def patterns_for(lengths: np.ndarray, counts: np.ndarray, capacity: int, most: i
             add([a])
         elif capacity - a in have and a <= capacity - a:
             add([a, capacity - a])
-    step = max(1, len(lengths) * len(lengths) // (4 * most))
-    pairs = ((a, b) for i, a in enumerate(lengths.tolist()) for b in lengths[i:].tolist() if b <= capacity - a - b)
-    for n, (a, b) in enumerate(pairs):
-        if n % step == 0 and capacity - a - b in have:
+    for a, b in triples(lengths, capacity, 4 * most):
+        if capacity - a - b in have:
             add([a, b, capacity - a - b])
     rng = np.random.default_rng(seed)
     weight = counts / counts.sum()

@@ -1,7 +1,9 @@
+import time
+
 import numpy as np
 import pytest
 
-from stackmill.llm.packing import packed, plan
+from stackmill.llm.packing import triples, packed, plan
 
 
 @pytest.mark.parametrize("seed,capacity,mean", [(1, 512, 200), (2, 2048, 180), (3, 100, 60), (4, 64, 3)])
@@ -45,3 +47,12 @@ def test_documents(spark):
             at += n
     assert {r["profile"] for r in got} == {"s", "l"}
     assert packed(docs.limit(0), limits).count() == 0 and packed(docs, limits.limit(0)).count() == 0
+
+
+def test_patterns_are_bounded_whatever_the_capacity():
+    lengths = np.arange(1, 100_001)
+    began = time.time()
+    pairs = list(triples(lengths, 131_072, 16_000))
+    assert 1000 < len(pairs) <= 16_000 and time.time() - began < 5 and all(a <= b <= 131_072 - a - b for a, b in pairs)
+    few = np.array([2, 3, 5, 7])
+    assert set(triples(few, 15, 100)) == {(a, b) for a in few.tolist() for b in few.tolist() if a <= b <= 15 - a - b}
