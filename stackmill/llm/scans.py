@@ -32,8 +32,10 @@ LINES = 40
 #: Different words and pairs that a task counts before it hands them on.
 HELD = 400_000
 HYPHENS = "-‐¬­"
+LINE_MARKS = frozenset(HYPHENS)
 LINE_HYPHEN = re.compile(rf"(\S*[^\W\d_])([{HYPHENS}])\s*$")
 APART = re.compile(r"(?<!\S)[^\W\d_](?:\s{1,3}[^\W\d_](?!\S)){2,}")
+APART_START = re.compile(r"(?<!\S)[^\W\d_]\s")
 PAGE_WORD = re.compile(r"(?i)^(?:page|pagc|p@ge|pag|seite|folio|página|pág|p|s|f)\.?$")
 OF = re.compile(r"(?i)^(?:of|0f|von|de|sur|/)$")
 NUMERAL = re.compile(r"(?i)^(?=[ivxlcdm1|í]+$)(?:c[cdm]?|cm|cd|d?c{0,3}|m)?(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$")
@@ -132,7 +134,7 @@ def furniture(pages: list[Page], first: bool) -> None:
             if len(k) < 4 or APART.fullmatch(line):
                 continue
             top = at == 0 and i == edges[n][0]
-            title = not re.search(r"[.!?;,]$", line)
+            title = line[-1] not in ".!?;,"
             same = times[k] >= 2 or (title and any(abs(len(k) - len(o)) <= 4 and SequenceMatcher(None, k, o, autojunk=False).ratio() >= 0.8 for o in often))
             numbered = has and title and len(line.split()) >= 2
             if (same or numbered) and not (n == 0 and first and top and not has):
@@ -142,7 +144,7 @@ def furniture(pages: list[Page], first: bool) -> None:
 def letters_apart(line: str) -> list[tuple[int, int]]:
     """The places of words whose letters stand apart; names in the order of the alphabet are none."""
     out = []
-    for m in APART.finditer(line):
+    for m in APART.finditer(line) if APART_START.search(line) else ():
         word = "".join(m[0].split()).lower()
         if word not in ALPHABET and word[1:] not in ALPHABET:
             out.append(m.span())
@@ -193,13 +195,13 @@ def cleaned(pages: list[Page], first: bool, lexicons: dict[str, Lexicon], compou
     furniture(pages, first)
     noise = [(p.span, i, k) for p in pages if p.own for i, k in enumerate(p.kind) if k in ("pageno", "header")]
     body = [(p, i) for p in pages for i, k in enumerate(p.kind) if k == "text"]
-    read = [(p.lines[i].lower().split()) for p, i in body]
+    read = [p.lines[i].lower().split() for p, i in body]
     lexicon = Lexicon({})
     carried, fixed = None, []  # carried: the part of a cut word that is waiting for its rest
     for k, (p, i) in enumerate(body):
         if k % LINES == 0:  # the language of these lines and as many around them
             seen = Counter(w for words in read[max(0, k - LINES // 2) : k + LINES + LINES // 2] for w in words)
-            lexicon = max(lexicons.values(), key=lambda x: sum(n for w, n in seen.items() if w in x), default=lexicon)
+            lexicon = max(lexicons.values(), key=lambda x: sum(map(seen.__getitem__, seen.keys() & x.counts.keys())), default=lexicon)
         line = p.lines[i]
         spaces = letters_apart(line)
         if spaces and p.own:
@@ -233,7 +235,7 @@ def cleaned(pages: list[Page], first: bool, lexicons: dict[str, Lexicon], compou
             changes.append((0, stop, ""))
             start = 1
         carried = None
-        cut = LINE_HYPHEN.search(bare)
+        cut = LINE_HYPHEN.search(bare) if bare.rstrip()[-1:] in LINE_MARKS else None
         last = len(found)
         if cut and k + 1 < len(body):
             q, j = body[k + 1]
@@ -247,9 +249,12 @@ def cleaned(pages: list[Page], first: bool, lexicons: dict[str, Lexicon], compou
                     last -= 1
                 carried = (tail, (p, i), len(fixed))
                 changes.append((cut.end(1) - len(tail), len(line), ""))
+        lows = [m[0].lower() for m in found]
         for n in range(start, last):
+            if lows[n] in lexicon.counts:
+                continue
             m = found[n]
-            word = misread(m[0], lexicon, found[n - 1][0].lower() if n else "", found[n + 1][0].lower() if n + 1 < len(found) else "")
+            word = misread(m[0], lexicon, lows[n - 1] if n else "", lows[n + 1] if n + 1 < len(found) else "")
             if word is not None:
                 if m[0][0].isupper() and word[0].islower():
                     word = word[0].upper() + word[1:]
@@ -266,6 +271,10 @@ def cleaned(pages: list[Page], first: bool, lexicons: dict[str, Lexicon], compou
     return list(dict.fromkeys(noise)), reflowed(pages, fixed)
 
 
+PARAGRAPH_END = re.compile(r"[.!?:]['”’\")]*\s*$")
+COMPOUND_END = re.compile(r"\w[-‐]$")
+
+
 def reflowed(pages: list[Page], fixed: list[tuple[Page, int, str]]) -> list[tuple[int, str]]:
     """Paragraphs of the repaired lines: they end at a blank line or before an indented one, and go on over page ends."""
     out: list[tuple[Page, list[str]]] = []
@@ -274,13 +283,13 @@ def reflowed(pages: list[Page], fixed: list[tuple[Page, int, str]]) -> list[tupl
         turned = last is not None and last[0] is not p
         blank = i > 0 and p.kind[i - 1] == "blank" and any(k == "text" for k in p.kind[:i])
         indented = p.lines[i][:2].isspace()
-        ended = not out or not out[-1][1] or bool(re.search(r"[.!?:]['”’\")]*\s*$", out[-1][1][-1]))
+        ended = not out or not out[-1][1] or bool(PARAGRAPH_END.search(out[-1][1][-1]))
         fresh = not out or (blank and not turned) or (indented and ended) or (turned and ended and text.strip()[:1].isupper() and len(out[-1][1][-1]) < 0.7 * max(map(len, out[-1][1])))
         if fresh:
             out.append((p, []))
         out[-1][1].append(text.strip())
         last = (p, i)
-    whole = lambda parts: re.sub(r"\s+", " ", "".join(t if re.search(r"\w[-‐]$", t) else f"{t} " for t in parts if t)).strip()  # noqa: E731  a compound goes on without a blank
+    whole = lambda parts: re.sub(r"\s+", " ", "".join(t if COMPOUND_END.search(t) else f"{t} " for t in parts if t)).strip()  # noqa: E731  a compound goes on without a blank
     return [(p.span, whole(parts)) for p, parts in out if p.own]
 
 
