@@ -62,7 +62,7 @@ def fn3_letterspace_density(spark, d):
 
 
 def fn5_known_words(spark, d):
-    words = documents(spark, d).select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), 0)).alias("w"))
+    words = documents(spark, d).select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}"), 0)).alias("w"))
     per = words.groupBy("doc_id", "w").agg(F.count("*").alias("n"))
     known = per.groupBy("w").agg(F.count("*").alias("docs")).where("docs >= 3")
     marked = per.join(known, "w", "left")
@@ -185,7 +185,7 @@ SQL = {
                            "select case when st is null then 'unknown' when st in (408, 429) or st between 500 and 599 then 'recoverable' else 'terminal' end as class, stage, count(*) as n from s group by 1, 2",
     "emb5_recovered": f"with p as (select source_id, stage, max(attempts) as attempts, count_if(status = 'failed') as failures, bool_or(status = 'recovered_via_fallback') as recovered from {_M} group by 1, 2) select stage, count_if(recovered) as recovered, count_if(not recovered and failures > 0) as retried, max(attempts) as most from p group by 1",
     "fn3_letterspace_density": f"select span_id, round({_DENSITY}, 6) as density from {x._SPANS} where text is not null",
-    "fn5_known_words": "with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) as w from documents), p as (select doc_id, w, count(*) as n from w group by 1, 2), k as (select w, count(*) as docs from p group by 1 having count(*) >= 3) "
+    "fn5_known_words": "with w as (select doc_id, unnest(regexp_extract_all(lower(text), '\\p{L}{4,}')) as w from documents), p as (select doc_id, w, count(*) as n from w group by 1, 2), k as (select w, count(*) as docs from p group by 1 having count(*) >= 3) "
                        "select doc_id, round(sum(case when k.w is not null then n else 0 end)::double / sum(n), 6) as known from p left join k using (w) group by doc_id",
     "fn13_expected_sources": f"select source_id, case when {x._cases(t.KINDS)} in ('markdown', 'pdf') then split_part(source_id, '/', 1) || '/markdown/' || {_SLUG} || '/' || {_SLUG} || '.md' else split_part(source_id, '/', 1) || '/' || {x._cases(t.KINDS)} || '/' || {_SLUG} || '.' || {x._EXT} end as expected from {x._SOURCES}",
     "fn16_prompts": f"select hit_id, md5('Question: ' || q || chr(10) || chr(10) || 'Passage: ' || text || chr(10) || chr(10) || 'How well does the passage answer the question? Reply 0 (not), 1 (in part) or 2 (directly).') as prompt from {r._H} where q is not null and text is not null",

@@ -145,7 +145,7 @@ def chk9_payload_titles(spark, d):
 
 
 def emb1_stub_vectors(spark, d):
-    return documents(spark, d).select("doc_id", *[F.round(stub_vector(F.col("text"))[i], 6).alias(f"v{i}") for i in (0, 1, 31)])
+    return documents(spark, d).select("doc_id", *[F.round(stub_vector(F.col("text"))[i], 6).alias(f"v{i}") for i in range(32)])
 
 
 def agg10_garble_by_source(spark, d):
@@ -290,7 +290,7 @@ SQL = {
                          "w as (select doc_id, ls, unnest(range(0, 1 + greatest(0, ceil((len(ls) - 30) / 25.0)::int)))::bigint as chunk_index from l) select doc_id, chunk_index, md5(array_to_string(list_slice(ls, chunk_index * 25 + 1, chunk_index * 25 + 30), chr(10))) as chunk from w",
     "chk9_payload_titles": "select distinct point_id, coalesce(json_extract_string(payload_json, '$.Book.title'), json_extract_string(payload_json, '$.Paper.title'), json_extract_string(payload_json, '$.Code.file_path')) as title from points",
     "emb1_stub_vectors": "with h as (select doc_id, sha256(text) as h from documents) select doc_id, " + ", ".join(
-        f"round(((strpos('0123456789abcdef', substr(h, {2 * i + 1}, 1)) - 1) * 16 + strpos('0123456789abcdef', substr(h, {2 * i + 2}, 1)) - 1) / 127.5::double - 1.0::double, 6) as v{i}" for i in (0, 1, 31)) + " from h",
+        f"round(((strpos('0123456789abcdef', substr(h, {2 * i + 1}, 1)) - 1) * 16 + strpos('0123456789abcdef', substr(h, {2 * i + 2}, 1)) - 1) / 127.5::double - 1.0::double, 6) as v{i}" for i in range(32)) + " from h",
     "agg10_garble_by_source": _GARBLE,
     "agg17_prevalence": f"select split_part(source_id, '/', 1) as shelf, count(*) as spans, count_if({_MARKS} > 0) as mojibake, count_if({_RUNS} > 0) as letterspaced, round(sum(case when {_FRAG.format('text')} then length(text) else 0 end)::double / sum(length(text)), 6) as fragment_chars from {_SPANS} where text is not null group by 1",
     "agg18_length_stats": "select source, count(*) as n, quantile_cont(length(text), 0.5)::double as median, min(length(text))::bigint as least, max(length(text))::bigint as most from documents group by source",
