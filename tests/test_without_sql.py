@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from stackmill.operators.chunking import split_recursive, with_breadcrumbs
-from stackmill.streaming.ratelimit import refill
+from stackmill.streaming.ratelimit import refill, runs
 
 DATA = "/root/testdata/sf0.001"
 
@@ -87,3 +87,14 @@ def test_passages_of_the_whole_source(run, spark, spans):
     for i, r in got.items():
         if not r["found"]:
             assert r["passage"] == hashlib.md5(hits[i]["text"].encode()).hexdigest()
+
+
+def test_runs_of_one_key_go_to_many_groups(spark):
+    times = [0, 5, 50, 51, 52, 1000, 1001, 70000, 70049, 70099, 70150]
+    df = spark.createDataFrame([("a", i, t * 1_000_000) for i, t in enumerate(times)], "k string, i bigint, us bigint")
+    got = {r["i"]: r["run"] for r in runs(df, "k", "i", 50.0).collect()}
+    want, run = {}, 0
+    for i, t in enumerate(times):
+        run += i == 0 or t - times[i - 1] >= 50
+        want[i] = run
+    assert got == want
