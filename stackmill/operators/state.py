@@ -51,6 +51,12 @@ def named_slots(**slots: Column) -> Column:
     return F.map_from_entries(F.filter(entries, lambda e: F.coalesce(F.size(e["value"]), F.lit(0)) > 0))
 
 
+def wrong_slots(slots: Column, dims: dict[str, int]) -> Column:
+    """The names of the slots that `dims` doesn't know, or whose vectors have another length; empty if all are right."""
+    fits = lambda e: F.exists(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(d).alias("d")) for n, d in dims.items()]), lambda k: (k["n"] == e["key"]) & (k["d"] == F.size(e["value"])))
+    return F.array_sort(F.transform(F.filter(F.map_entries(slots), lambda e: ~fits(e)), lambda e: e["key"]))
+
+
 def to_prune(snapshots: DataFrame, keep: int, part: str = "collection", name: str = "snapshot_id", created: str = "created") -> DataFrame:
     """The snapshots beyond the newest `keep` of each part; 0 keeps all."""
     if keep == 0:

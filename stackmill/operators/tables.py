@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stackmill.operators.ingest import staged
 from stackmill.operators.state import to_prune
+from stackmill.sources.config import PipelineConfig
 
 
 def write_collections(points: DataFrame, path: str) -> None:
@@ -50,3 +52,10 @@ def restore(spark: SparkSession, store: str, snapshot_id: str, points: str) -> N
 def prunable(spark: SparkSession, store: str, keep: int) -> DataFrame:
     """Snapshots beyond the newest `keep` of each collection."""
     return to_prune(snapshots(spark, store), keep)
+
+
+def run(spans: DataFrame, config: PipelineConfig, points: str, outcomes: str, done: DataFrame | None = None) -> None:
+    """The whole pipeline over the spans of new sources: points written by collection, outcomes appended."""
+    made, told = staged(spans, config, done)
+    made.write.mode("append").partitionBy("collection").parquet(points)
+    append_json(told, outcomes)

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from stackmill.functions import garble as g
+from stackmill.functions import identity as ids
+from stackmill.functions import text as t
 from stackmill.operators import evaluation as ev
 from stackmill.operators import gates, ingest, state, strategies
 from stackmill.operators.search import search_many, search_points
 from stackmill.plans import retrieval as r
-from stackmill.plans.texts import _SPANS, spans
+from stackmill.plans.texts import _MARKS, _SPANS, spans
 from stackmill.session import table
 from stackmill.sources.config import PipelineConfig
 
@@ -128,6 +131,40 @@ def agg20_router_accuracy(spark, d):
     return best.agg(F.count("*").alias("n"), F.round(F.avg((F.col("best") == F.col("routed")).cast("double")), 6).alias("accuracy"))
 
 
+def fn4_replacement_rate(spark, d):
+    x = spans(spark, d).where("text is not null")
+    return x.select("span_id", F.round(t.replacement_marks(F.col("text")) / F.greatest(F.length("text"), F.lit(1)), 6).alias("rate"))
+
+
+def fn9_letters_joined(spark, d):
+    return spans(spark, d).where("text is not null").select("span_id", F.md5(g.letters_joined(F.col("text"))).alias("joined"))
+
+
+def fn10_garbled(spark, d):
+    x = table(spark, d, "documents").where("text is not null")
+    return x.select("doc_id", F.md5(g.letterspaced(F.col("text"))).alias("spaced"), F.md5(g.with_marks(F.col("text"))).alias("marked"))
+
+
+def snk4_wrong_slots(spark, d):
+    slots = state.named_slots(text=F.col("vector"), code=F.when(F.col("content_type") == "code", F.col("vector")))
+    return r.points(spark, d, "vector").select("point_id", F.array_join(state.wrong_slots(slots, {"text": DIM, "code": 2 * DIM}), ",").alias("wrong")).distinct()
+
+
+def snk11_collisions(spark, d):
+    """Points by their new ids: how many there are of each shelf, and how many ids more than one point claims."""
+    new = r.points(spark, d).withColumn("new_id", ids.point_id(F.concat(F.lit("v2/"), "source_id"), F.col("chunk_index")))
+    claims = new.groupBy("new_id").agg(F.min("collection").alias("collection"), F.countDistinct("point_id").alias("n"))
+    return claims.groupBy("collection").agg(F.count("*").alias("ids"), F.count_if(F.col("n") > 1).alias("collisions"))
+
+
+def agg25_pieces(spark, d):
+    """Share of each source's characters that its points hold, healthy from 80 to 102 %."""
+    whole = spans(spark, d).where("text is not null").groupBy("source_id").agg(F.sum(F.length("text")).alias("whole"))
+    held = r.points(spark, d, "text").distinct().groupBy("source_id").agg(F.sum(F.length("text")).alias("held"))
+    share = F.coalesce("held", F.lit(0)) / F.col("whole").cast("double")
+    return whole.where("whole > 0").join(held, "source_id", "left").select("source_id", F.round(share, 6).alias("coverage"), share.between(0.8, 1.02).alias("healthy"))
+
+
 def fn23_statuses(spark, d):
     return r.manifest(spark, d).select(state.parsed_status(F.col("status")).alias("status")).groupBy("status").agg(F.count("*").alias("n"))
 
@@ -138,7 +175,7 @@ def flt6_row(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (flt2_source, top2_collection_search, top2_filtered_search, top5_slot_search, top3_point_search, agg4_every_probe, ctl14_decompose, ctl14_iterative, ctl14_fan_out, ctl4_decisions, ctl4_points, snk10_progress,
-                                   chk8_blank_line_index, chk8_code_index, chk9_payloads, agg27_nugget_recall, agg20_router_accuracy, fn23_statuses, flt6_row)}
+                                   chk8_blank_line_index, chk8_code_index, chk9_payloads, agg27_nugget_recall, agg20_router_accuracy, fn4_replacement_rate, fn9_letters_joined, fn10_garbled, snk4_wrong_slots, snk11_collisions, agg25_pieces, fn23_statuses, flt6_row)}
 
 _V = f"(select distinct point_id, collection, source_id, chunk_index, content_type, vector from points where len(vector) = {DIM})"
 _COS = "(select case when isnan(c) then 0 else c end from (select list_cosine_similarity({0}.vector::double[], {1}.vector::double[]) as c))"
@@ -181,6 +218,13 @@ SQL = {
 else '{{"Paper":{{"title":"' || {_STEM} || '"' || case when chunk_index % 2 = 0 then ',"page_start":' || chunk_index || ',"page_end":' || chunk_index else '' end || '}}}}' end) as payload from {r._P} where content_type in ('book', 'paper', 'code')""",
     "agg27_nugget_recall": f"with n as (select item_id, unnest(range(least(len(keywords), 3))) as at_, keywords from (select distinct item_id, keywords from eval_items)), f as (select n.item_id, at_, coalesce(bool_or(contains(lower(text), lower(keywords[at_ + 1]))), false) as found from n left join (select * from {r._H} where text is not null) h on n.item_id = 1001 + h.probe_id % 200 group by 1, 2) select item_id, round(avg(found::int), 6) as recall from f group by 1",
     "agg20_router_accuracy": f"with b as (select probe_id, arg_max(content_type, (score::double, content_type)) as best, arg_max(content_type, (-rank_no, content_type)) as routed from {r._H} where content_type is not null group by 1) select count(*) as n, round(avg((best = routed)::int), 6) as accuracy from b",
+    "fn4_replacement_rate": f"select span_id, round({_MARKS} / greatest(length(text), 1)::double, 6) as rate from {_SPANS} where text is not null",
+    "fn9_letters_joined": rf"select span_id, md5(list_reduce(list_prepend(text, list_transform(list_sort(list_transform(list_distinct(regexp_extract_all(text, '{g.LETTERS_APART}')), lambda m: {{'n': -length(m), 'm': m}})), lambda e: e.m)), lambda s, m: replace(s, m, replace(m, ' ', '')))) as joined from {_SPANS} where text is not null",
+    "fn10_garbled": r"select doc_id, md5(array_to_string(list_transform(string_split(text, ' '), lambda w: case when length(w) > 3 and ('0x' || substr(md5(w), 1, 2))::int < 38 then trim(regexp_replace(w, '([^\n])', '\1 ', 'g'), ' ') else w end), ' ')) as spaced, "
+                    r"md5(array_to_string(list_transform(string_split(text, ' '), lambda w: case when ('0x' || substr(md5(w), 1, 2))::int < 7 then regexp_replace(w, '\p{L}\z', chr(65533)) else w end), ' ')) as marked from documents where text is not null",
+    "snk4_wrong_slots": f"select distinct point_id, concat_ws(',', case when content_type = 'code' and len(vector) > 0 and len(vector) <> {2 * DIM} then 'code' end, case when len(vector) > 0 and len(vector) <> {DIM} then 'text' end) as wrong from points",
+    "snk11_collisions": f"with c as (select min(collection) as collection, count(distinct point_id) as n from {r._P} group by source_id, chunk_index) select collection, count(*) as ids, count_if(n > 1) as collisions from c group by 1",
+    "agg25_pieces": f"with w as (select source_id, sum(length(text)) as whole from {_SPANS} where text is not null group by 1 having sum(length(text)) > 0), h as (select source_id, sum(length(text)) as held from (select distinct point_id, collection, source_id, chunk_index, content_type, text from points) group by 1) select source_id, round(coalesce(held, 0) / whole::double, 6) as coverage, coalesce(held, 0) / whole::double between 0.8 and 1.02 as healthy from w left join h using (source_id)",
     "fn23_statuses": "select case when status in (" + ", ".join(f"'{s}'" for s in state.STATUSES) + f") then status end as status, count(*) as n from (select distinct * from manifest) group by 1",
     "flt6_row": f"select source_id, stage, status, attempts, updated_at from {r._M} where stage = 'embed' and source_id = (select min(source_id) from manifest where stage = 'embed')",
 }

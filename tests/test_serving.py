@@ -2,10 +2,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from stackmill.functions.answers import quotations, verbatim
-from stackmill.operators import embedding, gates, ingest, strategies
+from stackmill.functions import garble
+from stackmill.operators import chunk_functions, embedding, gates, ingest, strategies, tables
+from stackmill.operators.chunking import split_recursive
 from stackmill.operators.evaluation import confidence
 from stackmill.operators.search import NotFound, search_many, search_points
-from stackmill.operators.state import parsed_status
+from stackmill.operators.state import parsed_status, wrong_slots
 from stackmill.sources.config import PipelineConfig
 
 
@@ -135,3 +137,29 @@ def test_gates(spark, points):
 def test_statuses(spark):
     df = spark.createDataFrame([("RecoveredViaFallback",), ("success",), ("odd",), (None,)], "s string")
     assert [r[0] for r in df.select(parsed_status(F.col("s"))).collect()] == ["recovered_via_fallback", "success", None, None]
+
+
+def test_chunkers_as_table_functions(spark):
+    chunk_functions.register(spark)
+    spark.createDataFrame([(1, "aa bb cc"), (2, None), (3, "l1\nl2\nl3")], "id int, text string").createOrReplaceTempView("texts_to_cut")
+    got = [tuple(r) for r in spark.sql("select id, piece, chunk from texts_to_cut, lateral recursive_chunks(text, 4, 0) order by id, piece").collect()]
+    assert [r for r in got if r[0] == 1] == [(1, n, c) for n, c in enumerate(split_recursive("aa bb cc", 4, 0))] and not [r for r in got if r[0] == 2]
+    assert [r[0] for r in spark.sql("select chunk from texts_to_cut, lateral line_windows(text, 5, 1) where id = 3 order by piece").collect()] == ["l1\nl2", "l2\nl3"]
+
+
+def test_letters_apart_and_joined(spark):
+    df = spark.createDataFrame([("a b c d and a b c d e, x y",), ("plain words here",), (None,)], "t string")
+    assert [r[0] for r in df.select(garble.letters_joined(F.col("t"))).collect()] == ["abcd and abcde, x y", "plain words here", None]
+    spaced = df.select(garble.letterspaced(F.col("t"), 1.0).alias("s"), garble.with_marks(F.col("t"), 1.0).alias("m")).collect()
+    assert spaced[1]["s"] == "p l a i n w o r d s h e r e" and spaced[1]["m"].count("\N{REPLACEMENT CHARACTER}") == 3
+
+
+def test_slots_of_another_length(spark):
+    df = spark.createDataFrame([({"text": [1.0, 2.0], "code": [1.0]},), ({},)], "s map<string,array<float>>")
+    assert [r[0] for r in df.select(wrong_slots(F.col("s"), {"text": 2, "code": 2})).collect()] == [["code"], []]
+
+
+def test_the_whole_pipeline(spark, tmp_path):
+    spans = spark.createDataFrame([("s", 0, "some text", None), ("t", 0, None, None)], "source_id string, span_index bigint, text string, page bigint")
+    tables.run(spans, PipelineConfig(collection="c"), str(tmp_path / "points"), str(tmp_path / "outcomes"))
+    assert spark.read.parquet(str(tmp_path / "points")).count() == 1 and spark.read.json(str(tmp_path / "outcomes")).where("status = 'failed'").count() == 1
