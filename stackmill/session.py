@@ -15,6 +15,12 @@ def tasks(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """`df` over enough tasks for heavy Python work: as its input is split, and moved only where that gives fewer tasks than cores."""
-    return df if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism else df.repartition(tasks(df.sparkSession))
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """`df` over enough tasks for heavy work: as its input is split, and moved only where that gives fewer tasks than cores.
+
+    With columns `by`, moved rows go by them and are put in their order, so that the order of rows is the same each time.
+    """
+    if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
+        return df
+    moved = df.repartition(tasks(df.sparkSession), *by)
+    return moved.sortWithinPartitions(*by) if by else moved
