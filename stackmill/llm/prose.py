@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from stackmill.llm.words import COMMON
+from stackmill.session import spread
 
 #: Common words that tell prose: those of one Latin letter also stand in lists and tables.
 TELLING = pa.array(sorted({w for lang, words in COMMON.items() for w in words if len(w) > 1 or lang == "ru"}))
@@ -118,7 +119,7 @@ def with_quality(texts: DataFrame, text: str = "text", excluded: Column | None =
     over) and marked_share (lists, tables and code). `not_prose` is true if not_prose_share is above one half, with the
     reason not_prose and, where one kind of lines alone is, repeated_lines or marked_lines. Null and blank texts have null
     shares and the reason 'empty'; rows for which `excluded` holds (code) are never not_prose. Columns of the input with
-    one of the new names are replaced. Rows stay where they are: nothing is moved between tasks.
+    one of the new names are replaced. Rows stay where they are, unless the input has fewer splits than there are cores.
     """
     new = ["chars", "words", "mean_word_length", "symbol_ratio", "bullet_share", "line_end_share", "ellipsis_share", "alphabetic_share", "common_share", "not_prose_share", "repeated_share", "marked_share", "not_prose", "reasons"]
     rows = texts.drop(*[c for c in new if c != text])
@@ -128,7 +129,7 @@ def with_quality(texts: DataFrame, text: str = "text", excluded: Column | None =
             found = counted(batch.column(batch.schema.get_field_index(text)))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[:, k]) for k in range(len(COUNTS)))], names=[*batch.schema.names, *(f"__{c}" for c in COUNTS)])
 
-    rows = rows.mapInArrow(count, StructType([*rows.schema.fields, *(StructField(f"__{c}", LongType()) for c in COUNTS)]))
+    rows = spread(rows).mapInArrow(count, StructType([*rows.schema.fields, *(StructField(f"__{c}", LongType()) for c in COUNTS)]))
     share = lambda a, b: F.try_divide(F.col(f"__{a}").cast("double"), F.col(f"__{b}"))
     rows = rows.withColumns({"chars": F.col("__chars"), "words": F.col("__words"), "mean_word_length": share("letters", "words"), "symbol_ratio": share("signs", "words"), "bullet_share": share("bullets", "lines"),
                              "line_end_share": share("ends", "lines"), "ellipsis_share": share("ellipses", "lines"), "alphabetic_share": share("lettered", "tokens"), "common_share": share("common", "words"),

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from stackmill.llm.lexicon import Lexicon
 from stackmill.llm.words import LETTERS, language
-from stackmill.session import tasks
+from stackmill.session import spread, tasks
 
 #: Pages of a block, and pages before and after it that are read along.
 BLOCK, AROUND = 64, 4
@@ -347,7 +347,7 @@ def vocabulary(spans: DataFrame, scans: DataFrame) -> tuple[dict[str, dict[str,
     size, so that what the driver gets is bounded by 1 / SHARE.
     """
     texts = spans.where((F.coalesce("kind", F.lit("")) != "Code") & F.col("text").isNotNull()).select("source_id", "text")
-    told = texts.join(scans.withColumn("scan", F.lit(True)), "source_id", "left").withColumn("scan", F.coalesce("scan", F.lit(False)))
+    told = spread(texts).join(scans.withColumn("scan", F.lit(True)), "source_id", "left").withColumn("scan", F.coalesce("scan", F.lit(False)))
     counted = told.mapInPandas(_counted, "kind string, lang string, key string, n bigint, a string, b string")
     counted = counted.groupBy("kind", "lang", "key").agg(F.sum("n").alias("n"), F.min("a").alias("a"), F.max("b").alias("b")).persist(StorageLevel.MEMORY_AND_DISK)
     total = {r["lang"]: r["n"] for r in counted.where("kind = 'total'").collect()}

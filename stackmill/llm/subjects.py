@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stackmill.llm.words import told_words
+from stackmill.session import spread as over_tasks
 
 NONE = "none"
 #: Least share that is kept while the share that counts is not set yet.
@@ -95,7 +96,7 @@ def assign(documents: DataFrame, subjects: DataFrame, labels: DataFrame, topics:
     """
     spark = documents.sparkSession
     docs = documents.select(F.col(key).alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & (F.length(F.trim(text)) > 0))
-    told_by = docs.select("doc", told_words("text").alias("said"))
+    told_by = over_tasks(docs, "doc").select("doc", told_words("text").alias("said"))
     tokens = told_by.select("doc", F.col("said.lang").alias("lang"), F.filter(F.split("said.words", " "), lambda w: w != "").alias("terms")).persist(StorageLevel.MEMORY_AND_DISK)
     sizes = {r["lang"]: (r["docs"], r["terms"]) for r in tokens.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.size("terms")).alias("terms")).collect()}
     small = [lang for lang, (n, _) in sizes.items() if lang is None or n < 2 * topics]
