@@ -1,26 +1,27 @@
 """Text that was decoded with the wrong character encoding: found by description length, and restored.
 
 A chain is a short list of wrong readings to be undone, such as "UTF-8 read as cp1252", twice. Every chain that changes
-a sentence gives a candidate; each candidate is compressed with a zstandard dictionary of its language, trained on the
-clean sentences of the corpus itself, and the candidate with the smallest description (its compressed bytes, what is
+a sentence gives a candidate; each candidate is compressed with a zstandard dictionary of its language, made from counts
+over all clean sentences of the corpus itself, and the candidate with the smallest description (its compressed bytes, what is
 odd in its spelling, and the cost of its chain) is taken. Without a gain the sentence stays as it is.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from heapq import heappushpop, heappush
 
+import numpy as np
 import pandas as pd
-import xxhash
 import zstandard
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stackmill.llm.words import COMMON, LETTERS, language
+from stackmill.llm.words import COMMON, LANGUAGES_OF, LETTERS, language
+from stackmill.llm.zdict import dictionary
 from stackmill.session import spread
 
 # Encodings that UTF-8 is often read as, and pairs (read as, written in) of single-byte encodings.
@@ -35,8 +36,10 @@ UNKNOWN_COST, ODD_COST = 3, 2
 ODD = re.compile(r"(?<=[a-zß-öø-ÿ])[À-ÖØ-Þ\u0160\u017d\u0178](?=[a-zß-öø-ÿ]|\b)|(?<=[^\W\d_])[^\x00-\x7f\w“”’‘—–…‐\u00ad¬](?=[^\W\d_])")
 #: Share of the clean sentences that must hold a letter beyond Latin-1 for it to be known.
 KNOWN_LETTER = 1e-5
-#: Share of a language's sample that must hold a word for it to be frequent.
+#: Share of a language's clean sentences that must hold a word for it to be frequent.
 FREQUENT = 4e-3
+#: Bytes that a match is long at least, and what it costs in letters of ASCII; words that a task counts before it hands them on.
+MATCHED, SEQUENCE, FLUSH = 5, 5, 1 << 18
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 #: Signs that are quoted in order to speak about them.
 QUOTED = re.compile(r"(?<![^\s(])(?:" + "|".join(rf"{a}[^A-Za-z\s“”\"«»]{{1,6}}{b}" for a, b in ("“”", '""', "«»", "„“", "‘’")) + r")(?![^\s.,;:!?)])")
@@ -244,6 +247,8 @@ RUSSIAN = re.compile(r"[Ѐ-џ\s!-/:-@\[-`{-~\d—–«»]+")
 #: What every shown UTF-8 sequence begins with.
 SIDE_BY_SIDE = re.compile("[^\x00-\x7f][^\x00-\x7f]|[Â-ß] ")
 BEYOND = re.compile("[Ā-ɏЀ-ӿ]")
+#: A sign of three bytes and what stands on both sides of it.
+BESIDE = re.compile("(?=(.[\u0800-\uffff].))")
 
 
 def clean_language(sentence: str) -> str | None:
@@ -252,78 +257,104 @@ def clean_language(sentence: str) -> str | None:
     A sentence is clean if no two characters outside ASCII stand side by side that are no ordinary letters, or if it is
     wholly Cyrillic.
     """
-    if CLEAN.search(sentence) and not RUSSIAN.fullmatch(sentence):
+    if not sentence.isascii() and CLEAN.search(sentence) and not RUSSIAN.fullmatch(sentence):
         return None
-    words = Counter(LETTERS.findall(sentence.lower()))
-    lang = language(words)
-    return lang if lang and sum(n for w, n in words.items() if w in COMMON[lang]) >= 2 else None
+    found: dict[str, int] = {}
+    for w in LETTERS.findall(sentence.lower()):
+        for lang in LANGUAGES_OF.get(w, ()):
+            found[lang] = found.get(lang, 0) + 1
+    lang = min(found, key=lambda lang: (-found[lang], lang), default=None)
+    return lang if lang and found[lang] >= 2 else None
 
 
-def dictionaries(texts: DataFrame, text: str = "text", sample: int = 1500, size: int = 16384) -> tuple[dict[str, bytes], str, frozenset[str]]:
-    """A zstandard dictionary for each language of the corpus, trained on at most `sample` of its clean sentences; the
-    letters beyond Latin-1 of all clean sentences; and the words with other than ASCII letters that are frequent in the sample.
+def dictionaries(texts: DataFrame, text: str = "text", size: int = 16384) -> tuple[dict[str, bytes], str, frozenset[str]]:
+    """A zstandard dictionary for each language of the corpus; the letters beyond Latin-1 of the clean sentences; and the
+    words with other than ASCII letters that are frequent in those of a language.
 
-    Each task keeps the clean sentences with the smallest hashes of each language among its rows, twice its part of
-    `sample` and a few more; of these, the one with the smallest hash in each of `sample` slots is taken. Letters are counted in all.
+    All of it comes from counts over all clean sentences: of those that hold a word or a letter, and of bytes. A
+    dictionary holds the words, and the signs between two others, that save most, as many as fit, and codes what it
+    doesn't hold by the count of its bytes.
     """
     parts = spread(texts.select(text).where(F.length(F.trim(text)) > 0))
-    most = 2 * sample // max(1, parts.rdd.getNumPartitions()) + 16
 
-    def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        heaps: dict[str, list[tuple[int, str]]] = {lang: [] for lang in COMMON}
-        beyond: Counter = Counter()
-        bound = 1 << 63
-        total, least = 0, dict.fromkeys(COMMON, 1 << 63)
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, spelled, few = defaultdict(Counter), defaultdict(Counter), Counter()
+
+        def rows() -> pd.DataFrame:
+            many = [(kind, lang, key, n) for kind, by in (("word", words), ("spelled", spelled)) for lang, counts in by.items() for key, n in counts.items()]
+            return pd.DataFrame(many + [(*key, n) for key, n in few.items()], columns=["kind", "lang", "key", "n"])
+
         for pdf in batches:
+            clean = defaultdict(list)
             for t in pdf[text]:
                 for s in SENTENCE.split(t):
-                    if not 24 <= len(s) <= 600:
-                        continue
-                    total += 1
-                    h = xxhash.xxh64_intdigest(s) >> 1
-                    other = not s.isascii() and BEYOND.search(s)
-                    if not other and (h >= bound or (h >= least["en"] and " the " in s)):  # too large a hash for the sample
-                        continue
                     lang = clean_language(s)
                     if lang is None:
                         continue
-                    if other:
-                        beyond.update({c for c in s if c > "ÿ" and c.isalpha()})
-                    heap = heaps[lang]
-                    if (-h, s) in heap:
-                        continue
-                    if len(heap) < most:
-                        heappush(heap, (-h, s))
-                    elif -h > heap[0][0]:
-                        heappushpop(heap, (-h, s))
-                    if len(heap) == most:
-                        least[lang] = -heap[0][0]
-                        bound = max(n for x, n in least.items() if x != "ru")
-        rows = [(lang, -h % sample, -h, s, 1) for lang, heap in heaps.items() for h, s in heap] + [("", ord(c), 0, c, n) for c, n in beyond.items()] + [("", -1, 0, "", total)]
-        yield pd.DataFrame(rows, columns=["lang", "slot", "h", "s", "n"])
-
-    found = parts.mapInPandas(kept, "lang string, slot bigint, h bigint, s string, n bigint")
-    by: dict[str, list[bytes]] = {}
-    letters: dict[str, int] = {}
-    for r in found.groupBy("lang", "slot").agg(F.min(F.struct("h", "s"))["s"].alias("s"), F.sum("n").alias("n")).collect():  # at most `sample` sentences a language, and the alphabet
-        if r["lang"]:
-            by.setdefault(r["lang"], []).append(r["s"].encode())
+                    clean[lang].append(s)
+                    held = {f" {w} " for w in s.split()}
+                    if not s.isascii():
+                        held.update(BESIDE.findall(f" {s} "))
+                        spelled[lang].update({w for w in WORD.findall(s) if not w.isascii()})
+                        if BEYOND.search(s):
+                            few.update({("letter", lang, c) for c in s if c > "ÿ" and c.isalpha()})
+                    words[lang].update(held)
+            for lang, sentences in clean.items():
+                few["sentences", lang, ""] += len(sentences)
+                found = np.bincount(np.frombuffer("".join(sentences).encode("utf-8", errors="replace"), np.uint8))
+                few.update({("byte", lang, str(b)): int(n) for b, n in enumerate(found) if n})
+            if sum(map(len, words.values())) > FLUSH:
+                yield rows()
+                for counts in (words, spelled, few):
+                    counts.clear()
+        yield rows()
+
+    counted = parts.mapInPandas(count, "kind string, lang string, key string, n bigint").groupBy("kind", "lang", "key").agg(F.sum("n").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+    sentences: dict[str, int] = {}
+    letters: Counter = Counter()
+    octets: dict[str, list[int]] = {}
+    for r in counted.where("kind not in ('word', 'spelled')").collect():  # the alphabet and 256 bytes a language
+        if r["kind"] == "sentences":
+            sentences[r["lang"]] = r["n"]
+        elif r["kind"] == "letter":
+            letters[r["key"]] += r["n"]
         else:
-            letters[r["s"]] = r["n"]
-    out, words = {}, set()
-    for lang in sorted(by):
-        samples = sorted(by[lang])
-        often = Counter(w for x in samples for w in {w for w in WORD.findall(x.decode()) if not w.isascii()})
-        words |= {w for w, n in often.items() if n >= FREQUENT * len(samples) and not ODD.search(w)}
-        try:
-            out[lang] = zstandard.train_dictionary(size, samples).as_bytes()
-        except zstandard.ZstdError:  # too few sentences to train on: they are the dictionary themselves
-            out[lang] = b"\n".join(samples)[:size]
-    least = max(1, KNOWN_LETTER * letters.pop("", 0))
-    return out or {"en": b" the of and to in is "}, "".join(sorted(c for c, n in letters.items() if n >= least)), frozenset(words)
-
-
-def reread(spans: DataFrame, text: str = "text", sample: int = 1500) -> DataFrame:
+            octets.setdefault(r["lang"], [0] * 256)[int(r["key"])] = r["n"]
+    out, often = {}, set()
+    for lang in sorted(sentences):
+        of = counted.where(F.col("lang") == lang)
+        length = F.octet_length("key")
+        saving = F.col("n") * (2 * length - F.length("key") - SEQUENCE)  # another byte than ASCII is about as dear as two letters
+        words = of.where("kind = 'word'").where(length.between(MATCHED, size) & (saving > 0))
+        ranked = [some.orderBy(saving.desc(), "key").limit(size // (MATCHED - 1)) for some in (words.where(length > F.length("key")), words)]  # more don't fit
+        best = [[(r["key"], r["n"]) for r in some.collect()] for some in ranked]
+        out[lang] = _dictionary(*best, octets[lang], size)
+        frequent = of.where("kind = 'spelled'").where(F.col("n") >= FREQUENT * sentences[lang])  # 1 / FREQUENT times the words of a sentence at most
+        often |= {r["key"] for r in frequent.collect() if not ODD.search(r["key"])}
+    counted.unpersist()
+    least = max(1, KNOWN_LETTER * sum(sentences.values()))
+    return out or {"en": b" the of and to in is "}, "".join(sorted(c for c, n in letters.items() if n >= least)), frozenset(often)
+
+
+def _dictionary(other: list[tuple[str, int]], words: list[tuple[str, int]], octets: list[int], size: int) -> bytes:
+    """A zstandard dictionary of the first words with other than ASCII signs, by which readings differ, in half of `size`
+    bytes, of the first of all words in what is left, and of the bytes that are in none of them. A word of which a single-byte
+    reading comes more often is left out: it is a misread one that stands in clean sentences."""
+    count, content, rest = dict(other), b"", [*octets]
+    for some, room in ((other, size // 2), (words, size)):
+        for key, n in some:
+            w = key.encode()
+            new = w + content[1:] if content[:1] == w[-1:] == b" " else w + content  # the first words come last, where they are nearest
+            if w in content or len(new) > room or (not key.isascii() and any(count.get(f" {rewritten(key.strip(), k)} ", 0) > n for k in range(len(MISREAD)))):
+                continue
+            content = new
+            if key[0] == key[-1] == " ":
+                for b in w.strip():
+                    rest[b] -= n
+    return dictionary(content.rjust(8), rest)
+
+
+def reread(spans: DataFrame, text: str = "text") -> DataFrame:
     """Every row with `restored`, the `chain` used (null if none), `lost` (signs that cannot be told any more) and
     `affected`, true if the text was decoded wrongly, be it in one sentence.
 
@@ -331,7 +362,7 @@ def reread(spans: DataFrame, text: str = "text", sample: int = 1500) -> DataFram
     names; inputs that already have one of the new names lose it to the new one. Texts of any length are taken whole,
     sentence by sentence; a sentence that recurs in a task is compressed once. An empty table gives an empty table.
     """
-    learned = dictionaries(spans, text, sample)
+    learned = dictionaries(spans, text)
     new = ["restored", "chain", "lost", "affected"]
     rows = spans.drop(*new)
     odd = F.coalesce(F.col(text).rlike(r"[^\x00-\x7f]"), F.lit(False))
